@@ -1,9 +1,10 @@
 """Token ids by the tokenizers library, each distinct piece of a block encoded once.
 
 The pre-tokenizers of both vocabularies never join text across white space, so a text's ids are those of
-its pieces in order. A piece is a word (for the byte-level vocabulary with the one space before it) or
-what is left of a run of white space, as the pre-tokenizer cuts it. Texts where that could differ (white
-space outside ASCII, strings that look like special tokens) are encoded whole.
+its pieces in order. A piece is a word with the white space before it (for the byte-level vocabulary with one
+space; what is left of a run of white space is a piece as the pre-tokenizer cuts it), or the symbols after
+its letters. Texts where that could differ (white space outside ASCII, strings that look like special
+tokens) are encoded whole.
 """
 
 from __future__ import annotations
@@ -16,13 +17,16 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-from ._common import SAME_BYTES, binary, mix, ragged, strings, words
+from ._common import LOWER_BYTES, binary, mix, ragged, strings
 
 #: Pieces whose ids a worker remembers (about 30 bytes each); beyond that it starts anew. It only saves time.
 REMEMBERED = 1_500_000
 #: New pieces are merged into the sorted store when there are so many.
 RECENT = 150_000
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_LETTER = np.isin(np.arange(256), [*range(65, 91), *range(97, 123)])
+_SYMBOL = np.isin(np.arange(256), [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
+_FOLDED = np.where(_SPACE, 32, LOWER_BYTES).astype(np.uint8)
 _ODD = "[\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}\\x{1c}-\\x{1f}]|<\\|"
 
 
@@ -97,33 +101,32 @@ class Encoder:
         return start, lens
 
     def _pieces(self, col: pa.Array) -> tuple[np.ndarray, pa.Array]:
-        if not self.byte_level:
-            return words(col, SAME_BYTES)
+        """Offsets of each text's pieces, and the pieces, side by side as they stand in the texts."""
         off, data = binary(col)
         n = len(data)
+        if not self.byte_level:
+            data = _FOLDED[data]  # the tokenizer lower-cases and drops white space itself
         first = np.zeros(n + 1, bool)
         first[off] = True
         space = np.append(_SPACE[data], True)
-        before = np.concatenate([[True], space[:-1]]) | first  # white space or the text's start stands before
-        inner = np.concatenate([[False], ~first[1:] & space[:-1]]) if n else np.zeros(1, bool)  # white space of the same text stands before
-        word = ~space & before  # a word's first byte
-        lead = np.zeros(n + 1, bool)
-        last = np.flatnonzero(word & inner) - 1  # the last white space before a word
-        one = np.append(data == 32, False)[last] if n else np.zeros(0, bool)
-        lead[last] = True  # a piece begins there: a space with its word, or another one alone
+        after_space = np.concatenate([[False], space[:-1]]) & ~first  # white space of the same text stands before
         starts = first.copy()
-        starts |= lead
-        starts[(last + 1)[~one]] = True  # the word after white space that isn't a space
-        starts |= space & (np.concatenate([[False], ~space[:-1]]))  # a run's first byte after a word
+        if n:
+            # symbols after an ASCII letter are tokenized for themselves
+            starts[1:n] |= _LETTER[data[:-1]] & _SYMBOL[data[1:]]
+        starts |= space & ~after_space
+        if self.byte_level:
+            last = np.flatnonzero(~space & after_space) - 1  # the last white space before a word
+            starts[last] = True  # a space goes with its word, any other stands alone
+            starts[(last + 1)[data[last] != 32]] = True
         starts[n] = False
         at = np.flatnonzero(starts)
-        bounds = np.append(at, n)
-        return np.searchsorted(at, off), strings(bounds, data)
+        return np.searchsorted(at, off), strings(np.append(at, n), data)
 
     def encode(self, col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of each text's ids, and the ids (unsigned, of 16 bits if they fit). Null counts as empty."""
         col = pc.fill_null(col, "")
-        odd = pc.match_substring_regex(col, _ODD).to_numpy(zero_copy_only=False) if self.byte_level else np.zeros(len(col), bool)
+        odd = pc.match_substring_regex(col, _ODD).to_numpy(zero_copy_only=False)
         at, flat = self._pieces(pc.if_else(pa.array(odd), "", col) if odd.any() else col)
         coded = flat.dictionary_encode()
         starts, lens = self._ids(coded.dictionary)

@@ -13,17 +13,10 @@ import numpy as np
 #: Ids in a word and bits of each, by selector; selector 0 is the escape.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 WIDTHS = np.array([64, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
-BLOCK = 4096
+BLOCK = 1024
 MAGIC = b"S8B1"
-
-
-def _reach(wide: np.ndarray, count: int, bits: int, ends: np.ndarray) -> np.ndarray:
-    """Where `count` ids from here on lie in the block and fit `bits` bits."""
-    n = len(wide)
-    over = np.concatenate([[0], np.cumsum(wide > bits)])
-    at = np.arange(n)
-    upto = np.minimum(at + count, n)
-    return (at + count <= ends) & (over[upto] == over[at])
+_POWERS = np.array([1 << k for k in range(64)], np.uint64)
+_BITS = np.searchsorted(_POWERS, np.arange(1 << 16).astype(np.uint64), side="right").astype(np.uint8)
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
@@ -32,16 +25,21 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     n_blocks = -(-n // block)
     if not n:
         return MAGIC + np.array([0, block, 0, 0], np.int64).tobytes()
-    # bits of each id, exact for all 64-bit values
-    wide = np.zeros(n, np.int64)
-    for s in (32, 16, 8, 4, 2, 1):
-        big = (ids >> wide.astype(np.uint64)) >> np.uint64(s) > 0
-        wide += np.where(big, s, 0)
-    wide += ids > 0
-    ends = np.minimum((np.arange(n) // block + 1) * block, n)
-    chosen = np.zeros(n, np.int64)
-    for sel in range(len(COUNTS) - 1, 0, -1):  # from few wide ids to many narrow ones: the last that fits holds most
-        chosen[_reach(wide, int(COUNTS[sel]), int(WIDTHS[sel]), ends)] = sel
+    wide = _BITS[ids.astype(np.uint16)] if int(ids.max()) < 1 << 16 else np.searchsorted(_POWERS, ids, side="right").astype(np.uint8)
+    room = np.minimum(np.arange(block, 0, -1)[np.arange(n) % block], np.arange(n, 0, -1)).astype(np.uint16)  # ids to the block's end
+    chosen = np.where(wide > WIDTHS[-1], 0, len(COUNTS) - 1).astype(np.uint8)
+    most, held = wide, 1  # the widest of `held` ids from here on
+    for sel in range(len(COUNTS) - 2, 0, -1):  # from few wide ids to many narrow ones: the last that fits holds most
+        while held < COUNTS[sel]:
+            reach = min(held, int(COUNTS[sel]) - held)
+            more = np.full(n, 255, np.uint8)
+            if reach < n:
+                more[:-reach] = most[reach:]
+            most, held = np.maximum(most, more), held + reach
+        fits = (most <= WIDTHS[sel]) & (room >= COUNTS[sel])
+        if not fits.any():
+            break  # fewer bits for more ids can't fit either
+        chosen[fits] = sel
     step = COUNTS[chosen]
     # the words' starts: follow the steps from each block's start, all blocks side by side
     firsts = np.arange(0, n, block)
