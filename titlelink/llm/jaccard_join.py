@@ -18,7 +18,7 @@ Repeated rows and rows without doc_id: each keeps its row; a null id is reached
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BROADCAST_ROWS, LOWER_BYTES, blocks, materialize, mix, without, words
+from ._common import BROADCAST_ROWS, LOWER_BYTES, blocks, materialize, mix, ragged, without, words
 from ._components import components
 from ._scatter import buckets_for, gather, release, scatter
 from ._tokens import hashes
@@ -37,10 +37,12 @@ PERCENT = 85
 LONG = 24
 LONGEST = 1 << 18
 PARTNERS = 128
+#: Leaders of one list that the first round tries for each member; what they don't link is paired in the second.
+LEADERS = 8
 LAST = np.uint64(1 << 63)
 
 _KEYS = np.dtype([("key", "<u8")])
-_POSTINGS = np.dtype([("key", "<u8"), ("id", "<i8"), ("n", "<i4")])
+_POSTINGS = np.dtype([("key", "<u8"), ("id", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
 
 def shingles(col: pa.Array, size: int = WORDS) -> list[np.ndarray]:
@@ -79,32 +81,56 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def long_lists(texts: DataFrame, percent: int, size: int) -> np.ndarray:
-    """Sorted hashes of the shingles whose lists, over the prefixes and half as much again, are longest."""
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
-        for b in blocks(batches):
-            part = [s[: prefix_length(len(s), percent) * 3 // 2] for s in shingles(b.column("text"), size)]
-            out = np.zeros(sum(map(len, part)), _KEYS)
-            out["key"] = np.concatenate(part) if part else 0
-            yield out
+def _longest(texts: DataFrame, records: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> np.ndarray:
+    """Sorted, the keys that are most frequent among the records, LONGEST at most."""
 
-    def counted(records: np.ndarray) -> pa.RecordBatch | None:
-        key, n = np.unique(records["key"], return_counts=True)
+    def counted(r: np.ndarray) -> pa.RecordBatch | None:
+        key, n = np.unique(r["key"], return_counts=True)
         long = n >= LONG
         return pa.RecordBatch.from_arrays([pa.array(key[long].astype(np.int64), pa.int64()), pa.array(n[long], pa.int64())], ["h", "n"]) if long.any() else None
 
-    buckets = buckets_for(texts.sparkSession, 0)
-    found = gather(scatter(texts, keys, buckets), _KEYS, buckets, counted, "h long, n long")
-    return np.sort(np.array([r["h"] for r in found.orderBy(F.desc("n"), "h").limit(LONGEST).select("h").collect()], np.uint64))
+    spark = texts.sparkSession
+    # a sixteenth of a split's bytes are records of prefixes, about
+    split = int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    buckets = buckets_for(spark, texts.rdd.getNumPartitions() * split // 16)
+    found = gather(scatter(texts, records, buckets), _KEYS, buckets, counted, "h long, n long")
+    out = np.sort(np.array([r["h"] for r in found.orderBy(F.desc("n"), "h").limit(LONGEST).select("h").collect()], np.uint64))
+    release(spark)
+    return out
+
+
+def _among(sought: np.ndarray, known: np.ndarray) -> np.ndarray:
+    if not len(known) or not len(sought):
+        return np.zeros(len(sought), bool)
+    return known[np.minimum(np.searchsorted(known, sought), len(known) - 1)] == sought
+
+
+def long_lists(texts: DataFrame, percent: int, size: int) -> np.ndarray:
+    """Sorted hashes of the shingles that come last: those with long lists over all documents' prefixes and half
+    as much again, and those with long lists over all shingles of the documents that have one of the first kind."""
+
+    def records(wanted: Callable[[np.ndarray], np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]:
+        def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+            for b in blocks(batches):
+                part = [wanted(s) for s in shingles(b.column("text"), size)]
+                out = np.zeros(sum(map(len, part)), _KEYS)
+                out["key"] = np.concatenate(part) if part else 0
+                yield out
+
+        return keys
+
+    def head(s: np.ndarray) -> np.ndarray:
+        return s[: prefix_length(len(s), percent) * 3 // 2]
+
+    first = _longest(texts, records(head))
+    if not len(first):
+        return first
+    return np.union1d(first, _longest(texts, records(lambda s: s if _among(head(s), first).any() else s[:0])))
 
 
 def _ordered(own: np.ndarray, last: np.ndarray) -> np.ndarray:
     """The shingles in the global order: their hashes, with the top bit set for those that come last."""
-    if not len(last) or not len(own):
-        return own
-    i = np.minimum(np.searchsorted(last, own), len(last) - 1)
-    late = last[i] == own
+    late = _among(own, last)
     return np.concatenate([own[~late], own[late] | LAST])
 
 
@@ -227,39 +253,50 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, i
             lens = np.array([len(p) for p in prefixes], np.int64)
             out = np.zeros(int(lens.sum()), _POSTINGS)
             out["key"] = np.concatenate(prefixes) if prefixes else 0
+            out["pos"] = ragged(np.zeros(len(lens), np.int64), lens)
             out["id"], out["n"] = np.repeat(b.column("rep").to_numpy(), lens), np.repeat(b.column("n").to_numpy(), lens)
             yield out
 
     def listed(records: np.ndarray) -> pa.RecordBatch | None:
-        """Members of lists of two or more, each with a leader: the smallest set of the list from which its size can be reached."""
-        records = records[np.lexsort((records["id"], records["n"], records["key"]))]
+        """Members of lists of two or more, each with a leader: the member with the least before this shingle that
+        still allows a link, from the sizes and what stands before it in both (the first common shingle of a link does)."""
+        records = records[np.lexsort((records["id"], records["n"], records["pos"], records["key"]))]
         key = records["key"]
         run = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) if len(key) else np.zeros(0, np.int64)
         several = np.bincount(run)[run] > 1 if len(key) else np.zeros(0, bool)
         records = records[several]
         if not len(records):
             return None
-        lead, now, size_now = np.empty(len(records), np.int64), None, 0
-        for i, (k, x, n) in enumerate(zip(records["key"].tolist(), records["id"].tolist(), records["n"].tolist(), strict=True)):
-            if k != now or 100 * size_now < percent * n:
-                now, size_now, leader = k, n, x
-            lead[i] = leader
-        return pa.RecordBatch.from_arrays([pa.array(records["key"].astype(np.int64), pa.int64()), pa.array(records["id"], pa.int64()), pa.array(records["n"], pa.int32()), pa.array(lead, pa.int64())], ["h", "id", "n", "lead"])
+        lead, now, leaders = records["id"].copy(), None, []
+        for i, (k, x, n, p) in enumerate(zip(*(records[f].tolist() for f in ("key", "id", "n", "pos")), strict=True)):
+            if k != now:
+                now, leaders = k, []
+            for y, m, q in leaders:
+                want = -(-percent * (n + m) // (100 + percent))
+                if min(n, m) >= want and n - p >= want and m - q >= want:
+                    lead[i] = y
+                    break
+            else:
+                if len(leaders) < LEADERS:
+                    leaders.append((x, n, p))
+        return pa.RecordBatch.from_arrays([pa.array(records["key"].view(np.int64), pa.int64()), pa.array(records["id"], pa.int64()), pa.array(records["n"], pa.int32()), pa.array(records["pos"], pa.int32()), pa.array(lead, pa.int64())], ["h", "id", "n", "pos", "lead"])
 
     buckets = buckets_for(spark, int(total))
-    lists = materialize(gather(scatter(records.select("rep", "n", "prefix"), postings, buckets), _POSTINGS, buckets, listed, "h long, id long, n int, lead long"), "lists")
+    lists = materialize(gather(scatter(records.select("rep", "n", "prefix"), postings, buckets), _POSTINGS, buckets, listed, "h long, id long, n int, pos int, lead long"), "lists")
     release(spark)
 
     # first each member with its leader, then members of a list that are in different components
     first = materialize(lists.where("lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
     links = _verified(materialize(_bounded(first, records, percent), "allowed"), texts, percent, size)
     comp = components(links)
-    member = lists.join(comp, "id", "left").select("h", "id", "n", F.coalesce("component", "id").alias("c"))
+    member = lists.join(comp, "id", "left").select("h", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
     split = member.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h")
     member = materialize(member.join(split, "h"), "split")
-    x = member.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("c").alias("ca"))
-    y = member.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("c").alias("cb"))
-    across = x.join(y, "h").where((F.col("ca") < F.col("cb")) & (100 * F.col("na") >= percent * F.col("nb")) & (100 * F.col("nb") >= percent * F.col("na")))
+    x = member.select("h", F.col("id").alias("a"), F.col("n").alias("na"), F.col("pos").alias("ia"), F.col("c").alias("ca"))
+    y = member.select("h", F.col("id").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("ib"), F.col("c").alias("cb"))
+    want = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
+    allowed = (F.least("na", "nb") >= want) & (F.col("na") - F.col("ia") >= want) & (F.col("nb") - F.col("ib") >= want)
+    across = x.join(y, "h").where((F.col("ca") < F.col("cb")) & allowed)
     across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = materialize(across.join(tested, ["a", "b"], "left_anti"), "pairs")
