@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import shutil
 import tempfile
 import uuid
@@ -15,7 +17,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once; a longer document is a block of its own.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
+
+#: Rows that reach a Python worker at once.
+BATCH_ROWS = 1000
 
 _UPPER = np.arange(256, dtype=np.uint8)
 _UPPER[ord("A") : ord("Z") + 1] += 32
@@ -29,6 +34,7 @@ SAME_BYTES = np.arange(256, dtype=np.uint8)
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a local one only where the session names none, as in tests."""
+    small_batches(spark)
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = tempfile.mkdtemp(prefix="llm-")
@@ -104,6 +110,20 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             j = max(i + 1, int(np.searchsorted(size, size[i] + most, side="right")) - 1)
             yield batch.slice(i, j - i)
             i = j
+        del batch
+        trim()
+
+
+def trim() -> None:
+    """Gives freed memory back to the system, so that a worker doesn't keep its peak."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Rows of a text table in an Arrow batch: a worker holds a batch at once, and each may be a long document."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

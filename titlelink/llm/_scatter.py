@@ -9,10 +9,10 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from ._common import small_batches, trim
 
 #: Records that a task holds before it writes its blobs.
-FLUSH = 1_000_000
+FLUSH = 400_000
 #: Records of a bucket, about.
 BUCKET = 500_000
 
@@ -28,6 +28,7 @@ def scatter(df: DataFrame, records: Callable[[Iterator[pa.RecordBatch]], Iterato
             if sum(map(len, held)) >= FLUSH:
                 yield blobs(np.concatenate(held))
                 held = []
+                trim()
         if held:
             yield blobs(np.concatenate(held))
 
@@ -66,6 +67,7 @@ def gather(scattered: DataFrame, dtype: np.dtype, buckets: int, work: Callable[[
                     if (out := work(np.concatenate(held))) is not None:
                         yield out
                     held = []
+                    trim()
                 now = bucket
                 held.append(unpack(payload.as_buffer(), dtype))
         if held and (out := work(np.concatenate(held))) is not None:
@@ -75,6 +77,7 @@ def gather(scattered: DataFrame, dtype: np.dtype, buckets: int, work: Callable[[
 
 
 def buckets_for(spark: SparkSession, records: int) -> int:
+    small_batches(spark)
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-records // BUCKET))
 
 
