@@ -89,12 +89,15 @@ def nnpu(rows: np.ndarray, cells: np.ndarray, shares: np.ndarray, positive: np.n
     # cells that too few documents have could only be learnt by heart; the others are centred and brought nearer to a common size
     seen = np.bincount(cells, minlength=1 << BITS)
     kept = seen[cells] >= max(3, RARE * n)
-    rows, cells, shares = rows[kept], cells[kept], np.sqrt(shares[kept].astype(float))
-    used, cells = np.unique(cells, return_inverse=True)
+    rows, cells, shares = rows[kept], cells[kept], np.sqrt(shares[kept])
+    used = np.flatnonzero(seen >= max(3, RARE * n))
+    place = np.zeros(1 << BITS, np.int32)
+    place[used] = np.arange(len(used))
+    cells = place[cells]
     mean = np.bincount(cells, shares, minlength=len(used)) / max(1, n)
     unit = 1 / np.sqrt(np.maximum(np.bincount(cells, shares * shares, minlength=len(used)) / max(1, n) - mean**2, 1e-12))
     unit = unit**UNIT
-    shares, mean = shares * unit[cells], mean * unit
+    shares, mean = (shares * unit[cells]).astype(np.float32), mean * unit
     w, b, speed, speed_b = np.zeros(len(used)), float(np.log(prior / (1 - prior))), np.zeros(len(used)), 0.0
     for _ in range(steps):
         g = np.bincount(rows, w[cells] * shares, minlength=n) - w @ mean + b
