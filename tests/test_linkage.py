@@ -107,7 +107,7 @@ def test_feed_attributes(spark):
 def test_webhooks(spark):
     bodies = ['{"eventType":"Grab","release":{"releaseTitle":"t","downloadId":"d","size":1.5e3}}', "{bad", '{"eventType":"Test"}']
     rows = feed.map_webhooks(spark.createDataFrame([(b,) for b in bodies], "body string")).collect()
-    assert [(r.kind, r.download_id, r["size"], r.wakes) for r in rows] == [("Grab", "d", 1500, True), (None, None, None, True), ("Test", None, None, False)]
+    assert [(r.kind, r.download_id, r["size"], r.wakes) for r in rows] == [("Grab", "d", 1500, True), ("", "", None, False), ("Test", "", None, False)]
 
 
 def test_stream_equals_batch(spark, tmp_path):

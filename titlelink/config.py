@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Mapping
+from dataclasses import dataclass, fields
 
 # Tokens that carry no identity (containers, resolutions, sources, codecs, filler).
 JUNK_TOKENS = (
@@ -48,9 +49,40 @@ class Settings:
     import_margin: int = 10
     grace_seconds: float = 120.0
     attempts: int = 3
+    import_enabled: bool = False
+    dry_run: bool = True
+    multipack: bool = False
+    reconcile_seconds: float = 900.0
+    search_seconds: float = 45.0
     sessions: int = 50
     candidates: int = 200
     orphans: int = 20
 
 
 DEFAULTS = Settings()
+
+#: Where a settings file may name a value: its section, its key, and the field.
+FILE_KEYS = {
+    "matching": {"threshold": "threshold", "max_queries_per_search": "max_queries", "date_skew_days": "date_skew_days"},
+    "rate_limit": {"burst": "burst", "refill_seconds": "refill_seconds"},
+    "import_completer": {
+        "enabled": "import_enabled", "dry_run": "dry_run", "multipack": "multipack", "grace_seconds": "grace_seconds", "reconcile_seconds": "reconcile_seconds",
+        "max_attempts": "attempts", "import_threshold": "import_threshold", "ambiguity_margin": "import_margin",
+    },
+    "ui": {"max_sessions": "sessions", "max_candidates": "candidates"},
+}
+
+
+def load_settings(raw: Mapping | str | None, env: Mapping[str, str], prefix: str = "TITLELINK_") -> Settings:
+    """raw: a parsed settings file, or its path (YAML). Any field may be set by an environment variable, which goes before the file."""
+    if isinstance(raw, str):
+        import yaml
+
+        with open(raw, encoding="utf-8") as f:
+            raw = yaml.safe_load(f)
+    found = {field: section[key] for name, keys in FILE_KEYS.items() if (section := (raw or {}).get(name) or {}) for key, field in keys.items() if key in section}
+    for f in fields(Settings):
+        if (value := env.get(prefix + f.name.upper())) is not None:
+            found[f.name] = value.strip().lower() in {"1", "true", "yes", "on"} if isinstance(f.default, bool) else value
+    kinds = {f.name: type(f.default) for f in fields(Settings)}
+    return Settings(**{name: kinds[name](value) for name, value in found.items()})

@@ -60,6 +60,13 @@ def sweep_summary(outcomes: DataFrame, by: list[str]) -> DataFrame:
 
 
 def gate(first_seen: Column, fired: Column, attempts: Column, now: Column, ready: Column, settings: Settings = DEFAULTS) -> Column:
-    """The outcome of one sweep for a held download: wait for the grace time, park after the last attempt, skip what can't be planned, wait a grace time after a try."""
-    waiting = (now - first_seen < settings.grace_seconds) | (fired.isNotNull() & (now - fired < settings.grace_seconds))
-    return F.when(now - first_seen < settings.grace_seconds, "waited").when(attempts >= settings.attempts, "parked").when(~ready, "skipped").when(waiting, "waited").otherwise("acted")
+    """The outcome of one live sweep for a held download: wait for the grace time, park after the last attempt, skip what can't be planned, wait a grace time after a try."""
+    cooling = fired.isNotNull() & (now - fired < settings.grace_seconds)
+    return F.when(now - first_seen < settings.grace_seconds, "waited").when(attempts >= settings.attempts, "parked").when(~ready, "skipped").when(cooling, "waited").otherwise("acted")
+
+
+def route(files: DataFrame, has_index: bool = True, settings: Settings = DEFAULTS) -> DataFrame:
+    """files: download_id, rejections. Which way a download is planned: alone (one video at most), as a pack, or why not."""
+    videos = F.count_if(~T.is_sample(F.col("rejections")))
+    way = F.when(F.col("videos") <= 1, "single").when(F.lit(not settings.multipack), "multipack-disabled").when(F.lit(not has_index), "no-index").otherwise("pack")
+    return files.groupBy("download_id").agg(videos.alias("videos")).withColumn("route", way)

@@ -58,3 +58,55 @@ def early_stop(fired: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     """fired: search_id, variant, best. The variants that run: those before which no confidence reached the threshold."""
     before = F.max("best").over(Window.partitionBy("search_id").orderBy("variant").rowsBetween(Window.unboundedPreceding, -1))
     return fired.where("true").withColumn("before", before).where(F.coalesce("before", F.lit(0)) < settings.threshold).drop("before")
+
+
+def gated(fired: DataFrame, budget_seconds: float = DEFAULTS.search_seconds) -> DataFrame:
+    """fired: search_id, variant, granted, elapsed (seconds at which it would start). The variants before the first that gets
+    no token or starts after the time budget; what they found is kept."""
+    stop = ~F.coalesce("granted", F.lit(False)) | (F.coalesce("elapsed", F.lit(0.0)) > budget_seconds)
+    first = F.max(stop.cast("int")).over(Window.partitionBy("search_id").orderBy("variant").rowsBetween(Window.unboundedPreceding, 0))
+    return fired.withColumn("stopped", first).where("stopped = 0").drop("stopped")
+
+
+def grab_records(correlated: DataFrame) -> DataFrame:
+    """correlated: grab_id, session_id, guid, download_id. One record for each download of a session: the last grab and its
+    guid, in the place of the first; grabs without a download id stay apart. Grabs without a session are no records."""
+    own = F.when(F.coalesce("download_id", F.lit("")) != "", F.col("download_id"))
+    c = correlated.where("session_id is not null").withColumns({"own": own, "apart": F.when(own.isNull(), F.col("grab_id"))})
+    each = c.groupBy("session_id", "own", "apart").agg(F.min("grab_id").alias("place"), F.max_by(F.struct("grab_id", "guid"), "grab_id").alias("last"))
+    return each.select("session_id", F.col("own").alias("download_id"), "place", "last.grab_id", "last.guid")
+
+
+def orphans(correlated: DataFrame, keep: int = DEFAULTS.orphans) -> DataFrame:
+    """The newest grabs without a session; the bound is the feature."""
+    return correlated.where("session_id is null").orderBy(F.desc("grab_id")).limit(keep)
+
+
+def pills(records: DataFrame) -> DataFrame:
+    """records: session_id, dry_run (of its import; null: none yet). A session's counted labels, the strongest first."""
+    imported = F.col("dry_run").isNotNull()
+    kinds = {"Imported": imported & ~F.col("dry_run"), "Would import (dry-run)": imported & F.col("dry_run"), "Grabbed": ~imported}
+    each = records.groupBy("session_id").agg(*(F.count_if(c).alias(name) for name, c in kinds.items()))
+    labels = [F.when(F.col(f"`{name}`") > 1, F.concat(F.lit(f"{name} \u00d7"), F.col(f"`{name}`").cast("string"))).when(F.col(f"`{name}`") == 1, name) for name in kinds]
+    return each.select("session_id", F.array_compact(F.array(*labels)).alias("pills"))
+
+
+def snapshot(sessions: DataFrame, children: dict[str, DataFrame], order: str = "session_id", keep: int = DEFAULTS.sessions) -> DataFrame:
+    """The newest sessions as JSON, each with its children (name: a table with session_id and seq) in order of seq. Only
+    what belongs to the kept sessions is gathered."""
+    kept = sessions.orderBy(F.desc(order)).limit(keep)
+    out = kept
+    for name, rows in children.items():
+        own = rows.join(F.broadcast(kept.select("session_id")), "session_id", "left_semi")  # `keep` rows
+        items = F.struct("seq", *[c for c in rows.columns if c not in ("session_id", "seq")])
+        out = out.join(own.groupBy("session_id").agg(F.array_sort(F.collect_list(items)).alias(name)), "session_id", "left")
+        out = out.withColumn(name, F.coalesce(name, F.array().cast(out.schema[name].dataType)))
+    return out.select("session_id", F.to_json(F.struct(*out.columns)).alias("json"))
+
+
+def health(entities: DataFrame, built_at: Column, now: Column) -> DataFrame:
+    """Size and age in seconds of the catalog that is matched against, and its distinct publisher names."""
+    from ..functions import text as T
+
+    names = entities.select("entity_id", F.explode(F.concat(F.array("publisher"), "aliases")).alias("n")).select("entity_id", F.nullif(T.squash(F.col("n")), F.lit("")).alias("n"))
+    return names.agg(F.countDistinct("entity_id").alias("index_size"), F.countDistinct("n").alias("names")).select("index_size", "names", (now - built_at).alias("index_age"))

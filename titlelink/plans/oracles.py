@@ -91,6 +91,11 @@ SELECT entity_id, array_to_string(list_transform(list_sort(list_transform(list_d
 """
 
 
+#: Line items as the files of a manual-import list, with the JSON that is sent for each.
+_FILES = """SELECT *, '{"path":"' || path || '","movieId":' || coalesce(CAST(movie_id AS VARCHAR), 'null') || ',"quality":{"quality":{"id":3}},"languages":[{"id":1}],"releaseGroup":null,"downloadId":"' || download_id || '","indexerFlags":0' || CASE WHEN part % 2 = 0 THEN ',"id":' || CAST(part AS VARCHAR) ELSE '' END || '}' AS entry
+ FROM (SELECT CAST(l_orderkey AS VARCHAR) AS download_id, CAST(l_linenumber AS BIGINT) AS line, l_partkey AS part, nullif(l_suppkey % 7, 0) AS movie_id, '/d/' || CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR) || '.mkv' AS path FROM lineitem) z"""
+
+
 def oracle_sql() -> dict[str, str]:
     title_of = "SELECT ent.*, l.title AS original FROM " + _ENT + " ent JOIN l ON listing_id = entity_id"
     return {
@@ -145,4 +150,39 @@ def oracle_sql() -> dict[str, str]:
              UNION ALL SELECT a.key, a.seq, a.k, a.t, CASE WHEN least(4.0, f.tokens + (a.t - f.t) / 21600.0) >= 1 THEN least(4.0, f.tokens + (a.t - f.t) / 21600.0) - 1 ELSE least(4.0, f.tokens + (a.t - f.t) / 21600.0) END, least(4.0, f.tokens + (a.t - f.t) / 21600.0) >= 1
              FROM f JOIN a ON a.key = f.key AND a.k = f.k + 1)
             SELECT key, seq, granted FROM f""",
+        "fn_explain": """SELECT o_orderkey, CASE WHEN k % 11 = 0 THEN 'Rejected: the title names another known publisher' WHEN k % 13 = 0 THEN 'Rejected: the date is too far off, or too little else agrees to forgive it'
+             WHEN k % 17 = 0 THEN 'Rejected: publisher, date or person agree, but the title is of something else' WHEN k % 19 = 0 THEN 'Rejected: other' ELSE concat_ws('|',
+             CASE WHEN k % 2 = 0 THEN '+ the dates agree (40)' END, CASE WHEN k % 3 = 0 THEN '+ the publisher is named in the title (35)' END, CASE WHEN k % 5 = 0 THEN '+ a person is named in the title (50)' END,
+             CASE WHEN k % 7 = 0 THEN '+ the whole title is there (40)' END, CASE WHEN k % 9 = 0 THEN '! the date is 2 day(s) off, forgiven for ' || CAST(n AS VARCHAR) || ' strong signals' END,
+             CASE WHEN k % 8 = 1 THEN '! the date agrees only if day and month or year are read the other way; not counted' END, CASE WHEN k % 7 <> 0 AND k % 4 = 0 THEN 'the title is similar (17.5)' END,
+             CASE WHEN n = 1 THEN '! one strong signal alone is worth 65 at most' END, 'confidence ' || CAST(k % 101 AS VARCHAR) || CASE WHEN k % 101 >= 75 THEN ' >= 75: matched' ELSE ' < 75: not matched' END) END AS lines
+            FROM (SELECT o_orderkey, o_orderkey AS k, CAST(o_orderkey % 2 = 0 AS INT) + CAST(o_orderkey % 3 = 0 AS INT) + CAST(o_orderkey % 5 = 0 AS INT) + CAST(o_orderkey % 7 = 0 AS INT) AS n FROM orders) a""",
+        "queue_map": "SELECT CAST(o_orderkey AS VARCHAR) AS download_id, CAST(o_custkey % 5 AS BIGINT) AS movie_id, 'importBlocked' AS state, 'T' || CAST(o_orderkey AS VARCHAR) || '|a|b|plain' AS messages, 'q' AS title FROM orders WHERE o_custkey % 5 <> 0",
+        "import_files_map": f"SELECT download_id, line, part, movie_id, line > 2 AS is_sample, CASE WHEN line > 2 THEN ' Sample' WHEN part % 9 = 0 THEN 'bad|{{\"other\":1}}' ELSE '' END AS rejections, entry FROM ({_FILES}) f",
+        "import_route": "SELECT l_orderkey AS download_id, count(*) FILTER (l_linenumber <= 2) AS videos, CASE WHEN count(*) FILTER (l_linenumber <= 2) <= 1 THEN 'single' ELSE 'pack' END AS route FROM lineitem GROUP BY l_orderkey",
+        "import_commands": f"""SELECT download_id, '{{"name":"ManualImport","importMode":"copy","files":[' || string_agg(entry, ',' ORDER BY path) || ']}}' AS command
+            FROM (SELECT download_id, path, min(entry) AS entry FROM ({_FILES}) f WHERE line <= 2 AND part % 9 <> 0 AND movie_id IS NOT NULL GROUP BY download_id, path) g GROUP BY download_id""",
+        "hold_sweeps": """WITH RECURSIVE o AS (SELECT *, row_number() OVER (PARTITION BY did ORDER BY sweep) AS k FROM (SELECT l_orderkey AS did, CAST(l_linenumber AS BIGINT) AS sweep, max(l_suppkey) % 10 <> 0 AS held, max(l_partkey) % 7 <> 0 AS ready FROM lineitem GROUP BY l_orderkey, l_linenumber) a),
+            f(did, k, sweep, seen, tries, parked, fired, outcome) AS (
+             SELECT did, CAST(0 AS BIGINT), CAST(-9 AS BIGINT), CAST(NULL AS BIGINT), CAST(0 AS BIGINT), false, CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR) FROM o WHERE k = 1
+             UNION ALL
+             SELECT did, k, sweep, seen, tries + CAST(coalesce(outcome, '') = 'fire' AS BIGINT), parked OR coalesce(outcome, '') = 'parked', CASE WHEN outcome = 'fire' THEN sweep * 100 ELSE fired END, outcome FROM (
+              SELECT *, CASE WHEN NOT held OR parked THEN NULL WHEN sweep * 100 - seen < 150 THEN 'waited' WHEN tries >= 2 THEN 'parked' WHEN NOT ready THEN 'skipped' WHEN sweep * 100 - fired < 150 THEN 'waited' ELSE 'fire' END AS outcome FROM (
+               SELECT o.did, o.k, o.sweep, o.held, o.ready, coalesce(CASE WHEN go THEN f.seen END, CASE WHEN o.held AND NOT (go AND f.parked) THEN o.sweep * 100 END) AS seen, CASE WHEN go THEN f.tries ELSE 0 END AS tries, go AND f.parked AS parked, CASE WHEN go THEN f.fired END AS fired
+               FROM (SELECT f.*, EXISTS (SELECT 1 FROM o n WHERE n.did = f.did AND n.sweep = f.sweep + 1) AS go FROM f) f JOIN o ON o.did = f.did AND o.k = f.k + 1) b) c)
+            SELECT CAST(f.did AS VARCHAR) AS download_id, f.sweep, CASE WHEN outcome = 'fire' THEN CASE WHEN p % 5 <> 0 THEN 'acted' ELSE 'failed' END ELSE outcome END AS outcome, tries AS attempts
+            FROM f JOIN (SELECT l_orderkey AS did, CAST(l_linenumber AS BIGINT) AS sweep, max(l_partkey) AS p FROM lineitem GROUP BY l_orderkey, l_linenumber) x ON x.did = f.did AND x.sweep = f.sweep WHERE outcome IS NOT NULL""",
+        "hold_wake": "SELECT o_orderstatus, coalesce(greatest(0.5, least(900.0, CAST(min(CASE WHEN o_orderkey % 4 <> 0 AND o_orderkey % 200 > 180 THEN o_orderkey % 200 - 180 END) AS DOUBLE))), 900.0) AS wake_after FROM orders GROUP BY o_orderstatus",
+        "catalog_counts": "SELECT count(*) AS records, CAST(count(*) FILTER (o_orderkey % 6 <> 0 AND o_custkey % 4 <> 0) AS BIGINT) AS mapped, CAST(count(*) FILTER (NOT (o_orderkey % 6 <> 0 AND o_custkey % 4 <> 0)) AS BIGINT) AS skipped FROM orders",
+        "webhook_map": """SELECT kind, kind = 'Grab' AS tells, kind NOT IN ('', 'Test') AS wakes, CASE WHEN kind = '' THEN '' WHEN event_id % 2 = 0 THEN 'r' ELSE 'd' END AS "from", count(*) AS n, CAST(sum(CASE WHEN kind <> '' THEN event_id * 1000 END) AS BIGINT) AS sizes, max(CASE WHEN kind <> '' THEN 't' || CAST(event_id AS VARCHAR) ELSE '' END) AS last_title
+            FROM (SELECT *, CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 5 = 0 THEN 'Test' WHEN event_id % 3 = 0 THEN 'Download' ELSE 'Grab' END AS kind FROM events) a WHERE kind <> 'Test' GROUP BY ALL""",
+        "search_gated": "SELECT user_id AS search_id, event_id AS variant FROM (SELECT *, min(CASE WHEN event_id % 23 = 0 OR event_id / 100.0 > 45 THEN event_id END) OVER (PARTITION BY user_id) AS stop FROM events) a WHERE stop IS NULL OR event_id < stop",
+        "grab_records": """SELECT session_id, did AS download_id, min(event_id) AS place, max(event_id) AS grab_id, CAST(max(event_id) * 3 AS VARCHAR) AS guid FROM (SELECT event_id, event_id // 100 AS session_id, CASE WHEN event_id % 6 <> 0 THEN CAST(user_id AS VARCHAR) END AS did, CASE WHEN event_id % 6 = 0 THEN event_id END AS apart FROM events WHERE event_id % 4 > 0) a
+            GROUP BY session_id, did, apart""",
+        "grab_orphans": "SELECT event_id AS grab_id, CASE WHEN event_id % 6 = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END AS download_id FROM events WHERE event_id % 4 = 0 ORDER BY event_id DESC LIMIT 20",
+        "session_pills": """SELECT session_id, concat_ws(', ', CASE WHEN a > 1 THEN 'Imported ×' || CAST(a AS VARCHAR) WHEN a = 1 THEN 'Imported' END, CASE WHEN b > 1 THEN 'Would import (dry-run) ×' || CAST(b AS VARCHAR) WHEN b = 1 THEN 'Would import (dry-run)' END, CASE WHEN c > 1 THEN 'Grabbed ×' || CAST(c AS VARCHAR) WHEN c = 1 THEN 'Grabbed' END) AS pills
+            FROM (SELECT event_id // 5 AS session_id, count(*) FILTER (event_id % 3 = 0 AND event_id % 2 <> 0) AS a, count(*) FILTER (event_id % 6 = 0) AS b, count(*) FILTER (event_id % 3 <> 0) AS c FROM events GROUP BY event_id // 5) s""",
+        "session_snapshot": """SELECT session_id, '{"session_id":' || CAST(session_id AS VARCHAR) || ',"n":' || CAST(n AS VARCHAR) || ',"candidates":[' || coalesce(c, '') || ']}' AS json FROM (SELECT event_id // 7 AS session_id, count(*) AS n,
+             string_agg('{"seq":' || CAST(event_id AS VARCHAR) || ',"user_id":' || CAST(user_id AS VARCHAR) || '}', ',' ORDER BY event_id) FILTER (event_type = 'view') AS c FROM events GROUP BY event_id // 7) s ORDER BY session_id DESC LIMIT 50""",
+        "index_health": with_duck(f"SELECT count(DISTINCT entity_id) AS index_size, count(DISTINCT n) AS names, CAST(900 AS BIGINT) AS index_age FROM (SELECT entity_id, unnest([{_sq('publisher')}, {_sq('alias')}]) AS n FROM {_ENT} z) y"),
     }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -10,8 +11,10 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions import dates as D
 from ..functions import text as T
-from ..operators import decisions, linkage, sessions, token_bucket
-from ..sources import feed
+from ..functions.explain import why
+from ..functions.ratio import ratio
+from ..operators import decisions, hold_sweep, linkage, sessions, token_bucket
+from ..sources import feed, imports
 from .carriers import entities, listings
 
 
@@ -286,11 +289,129 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_bucket.grant(a, 4.0, 21600.0).select("key", "seq", "granted")
 
 
+def fn_token_set_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every entity's title against the listing of the same number."""
+    e = entities(spark, sf_dir).select("entity_id", T.content_tokens(F.col("title")).alias("a"))
+    l = listings(spark, sf_dir).select(F.col("listing_id").alias("entity_id"), T.content_tokens(F.col("title")).alias("b"))
+    return e.join(l, "entity_id").select("entity_id", F.round(ratio(F.col("a"), F.col("b"), F.lit(True)), 4).alias("ratio"))
+
+
+def fn_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as scored pairs."""
+    k = F.col("o_orderkey")
+    has = {"date": k % 2 == 0, "site": k % 3 == 0, "performer": k % 5 == 0, "title": k % 7 == 0}
+    strong = F.array_compact(F.array(*(F.when(c, name) for name, c in has.items())))
+    points = {"date": F.lit(40), "site": F.lit(35), "performer": F.lit(50), "title": F.when(has["title"], F.lit(40.0)).when(k % 4 == 0, F.lit(17.5)).otherwise(F.lit(0.0))}
+    veto = F.when(k % 11 == 0, "site-mismatch").when(k % 13 == 0, "date-mismatch").when(k % 17 == 0, "foreign-title").when(k % 19 == 0, "other")
+    lines = why(strong, veto, points, F.when(k % 9 == 0, F.lit(2)), k % 8 == 1, (k % 101).cast("int"))
+    return _read(spark, sf_dir, "orders").select("o_orderkey", _joined(lines, "|").alias("lines"))
+
+
+def queue_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as records of a queue page."""
+    text = F.format_string('{"downloadId":"%d","movieId":%d,"trackedDownloadState":"importBlocked","title":"q","statusMessages":[{"title":"T%d","messages":["a","b"]},"plain",{"messages":[]}]}', F.col("o_orderkey").cast("long"), (F.col("o_custkey") % 5).cast("long"), F.col("o_orderkey").cast("long"))
+    q = imports.map_queue(_read(spark, sf_dir, "orders").select(text.alias("record")))
+    return q.select("download_id", "movie_id", "state", _joined(F.col("messages"), "|").alias("messages"), "title")
+
+
+def _file_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as records of a manual-import list."""
+    l = _read(spark, sf_dir, "lineitem")
+    long = {c: F.col(c).cast("long") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")}
+    rejected = F.when(long["l_linenumber"] > 2, '[{"reason":" Sample"}]').when(long["l_partkey"] % 9 == 0, '["bad",{"other":1}]').otherwise("[]")
+    own = F.when(long["l_partkey"] % 2 == 0, F.format_string('"id":%d,', long["l_partkey"])).otherwise("")
+    text = F.concat(F.lit("{"), own, F.format_string('"path":"/d/%d/%d.mkv","movie":{"id":%d,"monitored":true},"quality":{"quality":{"id":3}},"languages":[{"id":1},"x"],"rejections":', long["l_orderkey"], long["l_linenumber"], long["l_suppkey"] % 7), rejected, F.lit("}"))
+    return l.select(long["l_orderkey"].cast("string").alias("download_id"), long["l_linenumber"].alias("line"), long["l_partkey"].alias("part"), text.alias("record"))
+
+
+def import_files_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = imports.map_files(_file_records(spark, sf_dir))
+    return f.select("download_id", "line", "part", "movie_id", "is_sample", _joined(F.col("rejections"), "|").alias("rejections"), imports.file_entry(F.col("movie_id")).alias("entry"))
+
+
+def import_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decisions.route(_files(spark, sf_dir), settings=replace(DEFAULTS, multipack=True))
+
+
+def import_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = imports.map_files(_file_records(spark, sf_dir)).where("not is_sample and size(rejections) = 0 and movie_id is not null")
+    one = f.groupBy("download_id", "path").agg(F.min(imports.file_entry(F.col("movie_id"))).alias("entry"))
+    return imports.commands(one)
+
+
+def hold_sweeps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of an order as the sweeps that saw a download, a hundred seconds apart; a line that is missing is a sweep that did not."""
+    l = _read(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_linenumber").cast("long").alias("sweep")).agg(F.max("l_suppkey").alias("s"), F.max("l_partkey").alias("p"))
+    seen = l.select(F.col("l_orderkey").cast("string").alias("download_id"), "sweep", (F.col("sweep") * 100).cast("double").alias("t"), (F.col("s") % 10 != 0).alias("held"), F.when(F.col("p") % 7 == 0, "not-one-video").alias("reason"), (F.col("p") % 5 != 0).alias("posted"))
+    out = hold_sweep.sweeps(seen, replace(DEFAULTS, dry_run=False, attempts=2, grace_seconds=150.0))
+    return out.select("download_id", "sweep", "outcome", F.col("attempts").cast("long").alias("attempts"))
+
+
+def hold_wake(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return _read(spark, sf_dir, "orders").groupBy("o_orderstatus").agg(hold_sweep.wake_after((k % 200).cast("double"), k % 4 == 0, F.lit(300.0)).alias("wake_after"))
+
+
+def catalog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as pages of a catalog."""
+    k, c = F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long")
+    text = F.format_string('{"id":%d,"title":"%s","releaseDate":"%s","studioTitle":"%s","studio":{"title":"S"}}', k, F.when(k % 6 == 0, "").otherwise("t"), F.when(c % 4 == 0, "2020-02-30T00:00:00Z").otherwise("2020-02-29T00:00:00Z"), F.when(k % 5 == 0, "").otherwise("P"))
+    return imports.catalog_counts(imports.map_catalog_records(_read(spark, sf_dir, "orders").select(text.alias("record"))))
+
+
+def webhook_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as bodies of webhooks, some of them broken."""
+    k = F.col("event_id").cast("long")
+    kind = F.when(k % 5 == 0, "Test").when(k % 3 == 0, "Download").otherwise("Grab")
+    body = F.when(k % 7 == 0, "{broken").otherwise(F.format_string('{"eventType":"%s","downloadId":"%s","release":{"releaseTitle":"t%d","downloadId":"r%d","size":%d}}', kind, F.when(k % 2 == 0, "").otherwise("d"), k, k, k * 1000))
+    e = _read(spark, sf_dir, "events").select(F.format_string("%s", body).alias("body"))
+    return feed.map_webhooks(e).where("tells or wakes or kind = ''").groupBy("kind", "tells", "wakes", F.substring("download_id", 1, 1).alias("from")).agg(F.count("*").alias("n"), F.sum("size").alias("sizes"), F.max("title").alias("last_title"))
+
+
+def search_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user as the variants of a search."""
+    e = _read(spark, sf_dir, "events")
+    fired = e.select(F.col("user_id").alias("search_id"), F.col("event_id").alias("variant"), (F.col("event_id") % 23 != 0).alias("granted"), (F.col("event_id") / 100).alias("elapsed"))
+    return sessions.gated(fired).select("search_id", "variant")
+
+
+def _correlated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    return _read(spark, sf_dir, "events").select(k.alias("grab_id"), F.when(k % 4 > 0, F.floor(k / 100)).alias("session_id"), (k * 3).cast("string").alias("guid"), F.when(k % 6 == 0, "").otherwise(F.col("user_id").cast("string")).alias("download_id"))
+
+
+def grab_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.grab_records(_correlated(spark, sf_dir))
+
+
+def grab_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.orphans(_correlated(spark, sf_dir)).select("grab_id", "download_id")
+
+
+def session_pills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    records = _read(spark, sf_dir, "events").select(F.floor(k / 5).alias("session_id"), F.when(k % 3 == 0, k % 2 == 0).alias("dry_run"))
+    return sessions.pills(records).select("session_id", _joined(F.col("pills"), ", ").alias("pills"))
+
+
+def session_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _read(spark, sf_dir, "events").withColumn("session_id", F.floor(F.col("event_id") / 7))
+    heads = e.groupBy("session_id").agg(F.count("*").alias("n"))
+    shown = e.where("event_type = 'view'").select("session_id", F.col("event_id").alias("seq"), "user_id")
+    return sessions.snapshot(heads, {"candidates": shown})
+
+
+def index_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.health(entities(spark, sf_dir), F.lit(100), F.lit(1000)).withColumn("index_age", F.col("index_age").cast("long"))
+
+
 ALL = (
     fn_squash, fn_tokens, fn_suffix_alias, fn_ngrams, fn_name_hits, fn_quality_tokens, fn_canonical_title, fn_redact, fn_basename, fn_size_text, fn_categories,
     dt_parse_query, dt_extract, dt_min_offset, src_catalog_map, src_feed_roundtrip, src_remote_search, join_resolve, join_date_band, join_token_overlap, join_blocked_capped,
     score_pairs, feed_match, plan_variants, search_mode, queue_holds, import_single, import_pack_verdicts, import_pack_final, sweep_summary,
     session_ring, session_candidates_capped, session_status, grab_correlate, import_correlate, grab_pills, rate_limit,
+    fn_token_set_ratio, fn_explain, queue_map, import_files_map, import_route, import_commands, hold_sweeps, hold_wake, catalog_counts, webhook_map, search_gated,
+    grab_records, grab_orphans, session_pills, session_snapshot, index_health,
 )
 
 
