@@ -268,6 +268,46 @@ def test_classifiers_on_held_out_rows(spark, module, label, bad, mod, hold):
     assert module.score(d, l.where("false"), mod, hold).count() == 902
 
 
+def test_op5_tells_rows_apart_by_vocabulary_only(spark):
+    rng = random.Random(3)
+    names = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(16000)})
+    rng.shuffle(names)
+    docs, labels = [], []
+    for i in range(1500):
+        odd = rng.random() < 0.3
+        docs.append((i, " ".join(rng.choice(names[:8000] if odd else names[8000:]) for _ in range(rng.randrange(60, 100)))))
+        labels.append((i, 0 if odd else 1))
+    d = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.score for r in quality.score(d, spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    held = [(got[i], y) for i, y in labels if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert sum((s >= 0.7) == (y == 1) for s, y in held) >= 0.95 * len(held)
+
+
+def test_op5_word_vectors_equal_brute_force(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(WORDS) + str(rng.randrange(9)) for _ in range(rng.randrange(0, 40))) for _ in range(60)] + [None, "", "alone"]
+    import pyarrow as pa
+
+    vocabulary = sorted({w for t in texts for w in (t or "").split()})
+    h = quality.hashes(pa.array(vocabulary, pa.large_string()))
+    own = dict(zip(vocabulary, np.concatenate([quality.index_vectors(h, turn).astype(int) for turn in range(quality.ROUNDS)], axis=1), strict=True))
+    assert all(np.abs(v).sum() == quality.ONES for v in own.values()) and len({v.tobytes() for v in own.values()}) == len(vocabulary)
+    total, near = {w: np.zeros(quality.DIM) for w in vocabulary}, dict.fromkeys(vocabulary, 0)
+    for t in texts:
+        w = (t or "").split()
+        for i, x in enumerate(w):
+            for y in w[max(0, i - 2) : i] + w[i + 1 : i + 3]:
+                total[x] += own[y]
+                near[x] += 1
+    centre = sum(total.values()) / sum(near.values())
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)  # as many blocks
+    got = {r.doc_id: np.frombuffer(r.x, np.float32)[quality.WORD_VECTORS] for r in quality.features(d).collect()}
+    for i, t in enumerate(texts):
+        v = np.array([total[x] / near[x] - centre if near[x] else np.zeros(quality.DIM) for x in (t or "").split()]).reshape(-1, quality.DIM)
+        want = np.concatenate([v.mean(axis=0), v.std(axis=0)]) if len(v) else np.zeros(2 * quality.DIM)
+        assert np.allclose(got[i], want, atol=1e-3)
+
+
 def test_pipeline_keeps_columns_and_runs(spark):
     import corpus_pipeline
 

@@ -1,14 +1,20 @@
 """Quality: random-indexing word vectors, pooled per document, into a two-layer numpy network.
 
-Every word (between white space) falls into one of CELLS cells, by its shape (plain, shouting, with
-symbols, ...) and a hash. A cell's vector is the mean of the sparse random index vectors of the cells that
-stand within two words of it anywhere in the corpus: each task counts neighbours, multiplies the counts by
-the index matrix, and the small matrices are summed in a tree. A document is pooled into the mean and the
-spread of its words' vectors and a few shares (shapes, distinct words, repeated neighbours). A network
-with one hidden layer learns from at most SAMPLE labelled rows, and a temperature, fitted on a fifth of
-them that it hasn't seen, calibrates its probabilities.
-
-Word statistics cover all documents and whole texts. Labels, lang, source and doc_id are no inputs of a
+Every word (between white space) has a sparse random index vector of its own, derived from its 64-bit hash
+without a table. A word's vector is the mean of the index vectors of all words that stand within two words
+of it anywhere in the corpus, centred on the corpus mean. Tasks sum the index vectors around each word over
+a block of documents (BLOCK bytes of text, or one longer document) and shuffle these sums by word; a word's
+total goes back to every block that has the word, where it meets the documents' word counts. So no table of
+words is held anywhere, however many there are. The dimensions don't depend on each other and are dealt with in
+ROUNDS rounds, so that the disk holds the sums of one round at a time. A document is pooled into the mean and the spread of its
+words' vectors, and ten shares of its own that no word vector holds (shapes of words, distinct words, repeated
+neighbours, length); the README says what each part adds. A network with one hidden layer learns from at most
+SAMPLE labelled rows, and a temperature, fitted on a fifth of them that it hasn't seen, calibrates its probabilities.
+
+The texts are read twice in each round; a block that isn't the same each time (rows that a source gives in another order)
+ends the run with an error instead of mixing up words.
+
+Words of one 64-bit hash count as one word. Word statistics cover all documents and whole texts. Labels, lang, source and doc_id are no inputs of a
 score. Labels with null doc_id or mark are ignored; of repeated labels the highest counts. Null, empty
 and wordless texts are pooled as zeros and scored like any other. Without labels every score is 0.5,
 with those of one kind only it is that kind.
@@ -16,41 +22,53 @@ with those of one kind only it is that kind.
 
 from __future__ import annotations
 
-import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SAME_BYTES, binary, blocks, words
+from ._common import SAME_BYTES, binary, blocks, materialize, mix, small_batches, trim, words
+from ._scatter import release
 from ._tokens import hashes
 from .toxicity import remainder
 
 SAMPLE = 8000
 DIM = 48
-#: Cells of each shape: plain, shouting, several symbols, digits, symbols only, other.
-SHAPES = np.array([1280, 128, 256, 128, 128, 128])
-BASE = np.concatenate([[0], np.cumsum(SHAPES)[:-1]])
-CELLS = int(SHAPES.sum())
+ONES = 8
+ROUNDS = 2
+#: Dimensions of a round.
+PART = DIM // ROUNDS
+#: Bytes of text whose words are summed before they are shuffled.
+BLOCK = 32 << 20
+#: Words (each counted once in a block) of a bucket, about, and bytes of a stored table for each.
+BUCKET_WORDS = 150_000
+BYTES_A_WORD = 32
+#: Words whose vectors are held at once in pooling and summing.
+CHUNK = 100_000
+#: What the network may see of a text's numbers.
+WORD_VECTORS, SHARES, ALL = slice(0, 2 * DIM), slice(2 * DIM, None), slice(None)
+N_SHARES = 10
 HIDDEN = 32
 EPOCHS = 60
-FAN_IN = 32
 
 
-def index_vectors(seed: int = 11) -> np.ndarray:
-    """Eight entries of +1 or -1 in each row."""
-    rng = np.random.default_rng(seed)
-    out = np.zeros((CELLS, DIM), np.float32)
-    for row in out:
-        row[rng.choice(DIM, 8, replace=False)] = rng.choice([-1, 1], 8)
+def index_vectors(h: np.ndarray, turn: int, seed: int = 11) -> np.ndarray:
+    """Of words by their hashes, a round's part of the dimensions. In all ONES entries of +1 or -1, one in each ONES-th of the dimensions."""
+    wide, few = DIM // ONES, ONES // ROUNDS
+    out, x, rows = np.zeros((len(h), PART), np.int8), mix(h + np.uint64(seed)) // np.uint64((2 * wide) ** (turn * few)), np.arange(len(h))
+    for k in range(few):
+        digit = (x % np.uint64(2 * wide)).astype(np.int64)
+        x = x // np.uint64(2 * wide)
+        out[rows, k * wide + digit // 2] = 1 - 2 * (digit % 2)
     return out
 
 
-def cells_of(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Cell and shape of each word."""
+def shapes_of(distinct: pa.Array) -> np.ndarray:
+    """Of each word: plain 0, shouting 1, several symbols 2, digits 3, symbols only 4, other 5."""
     off, data = binary(distinct)
     lens = np.diff(off)
 
@@ -61,89 +79,312 @@ def cells_of(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     upper, lower = many((data >= 65) & (data <= 90)), many(((data >= 97) & (data <= 122)) | (data >= 128))
     digit = many((data >= 48) & (data <= 57))
     symbol = lens - upper - lower - digit
-    shape = np.select([symbol == lens, (upper >= 2) & (lower == 0), symbol >= 2, digit > 0, lower + upper + symbol == lens], [4, 1, 2, 3, 0], 5)
-    return (BASE[shape] + (hashes(distinct) % SHAPES[shape].astype(np.uint64)).astype(np.int64)).astype(np.int32), shape
+    return np.select([symbol == lens, (upper >= 2) & (lower == 0), symbol >= 2, digit > 0, lower + upper + symbol == lens], [4, 1, 2, 3, 0], 5)
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    counts = np.zeros(CELLS * CELLS, np.float32)
-    for b in blocks(batches):
-        at, flat = words(b.column("text"), SAME_BYTES)
-        coded = flat.dictionary_encode()
-        cell = cells_of(coded.dictionary)[0][coded.indices.to_numpy()].astype(np.int64)
-        doc = np.repeat(np.arange(b.num_rows), np.diff(at))
+def shares(at: np.ndarray, ids: np.ndarray, shape_of: np.ndarray, distinct: np.ndarray) -> np.ndarray:
+    """N_SHARES numbers for each text: of each shape, distinct words, words that repeat the one before, logs of both counts."""
+    lens = np.diff(at)
+    doc, n = np.repeat(np.arange(len(lens)), lens), np.maximum(lens, 1)
+    again = (ids[1:] == ids[:-1]) & (doc[1:] == doc[:-1])
+    shapes = np.bincount(doc * 6 + shape_of[ids], minlength=len(lens) * 6).reshape(len(lens), 6)
+    repeated = np.bincount(doc[1:][again], minlength=len(lens))
+    return np.column_stack([shapes / n[:, None], distinct / n, repeated / n, np.log1p(lens), np.log1p(distinct)])
+
+
+def _sums(ids: np.ndarray, doc: np.ndarray, h: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each word its neighbours within two words, and the sum of their index vectors."""
+    own, n, out = index_vectors(h, turn), np.zeros(len(h), np.int64), np.zeros((len(h), PART), np.int32)
+    for lo in range(0, len(ids), CHUNK):
+        a, z = max(0, lo - 2), min(len(ids), lo + CHUNK + 2)
+        r, d = own[ids[a:z]], doc[a:z]
+        s, m = np.zeros_like(r), np.zeros(len(r), np.int64)
         for gap in (1, 2):
-            same = doc[gap:] == doc[:-gap]
-            pair = (cell[:-gap] * CELLS + cell[gap:])[same]
-            if len(pair):
-                pair, n = np.unique(pair, return_counts=True) if len(pair) < 50_000 else (None, np.bincount(pair, minlength=CELLS * CELLS))
-                if pair is None:
-                    counts += n
-                else:
-                    counts[pair] += n
-    both = counts.reshape(CELLS, CELLS)
-    sums = both @ index_vectors() + both.T @ index_vectors()
-    out = np.concatenate([sums, (both.sum(axis=1) + both.sum(axis=0))[:, None]], axis=1).astype(np.float64)
-    yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([out.tobytes()], pa.binary())], ["k", "m"])
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[int, np.ndarray] = {}
-    for b in batches:
-        for k, m in zip(b.column("k").to_pylist(), b.column("m"), strict=True):
-            x = np.frombuffer(m.as_buffer(), np.float64)
-            sums[k] = sums[k] + x if k in sums else x.copy()
-    if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["k", "m"])
-
-
-def word_vectors(texts: DataFrame) -> np.ndarray:
-    """A vector for each cell, centred on the corpus mean. One matrix reaches the driver."""
-    n = texts.rdd.getNumPartitions()
-    sums = texts.mapInArrow(_neighbours, "k long, m binary")
-    while n > 1:
-        n = math.ceil(n / FAN_IN)
-        sums = sums.withColumn("k", F.floor(F.col("k") / FAN_IN)).repartition(n, "k").mapInArrow(_summed, "k long, m binary")
-    rows = sums.collect()
-    if not rows:
-        return np.zeros((CELLS, DIM), np.float32)
-    total = np.sum([np.frombuffer(r["m"], np.float64) for r in rows], axis=0).reshape(CELLS, DIM + 1)
-    weight = np.maximum(total[:, DIM], 1)
-    mean = total[:, :DIM].sum(axis=0) / max(1.0, total[:, DIM].sum())
-    return np.where(total[:, DIM:] > 0, total[:, :DIM] / weight[:, None] - mean, 0).astype(np.float32)
-
-
-def pooled(col: pa.Array, vectors: np.ndarray) -> np.ndarray:
-    """2 * DIM + 10 numbers for each text."""
-    at, flat = words(col, SAME_BYTES)
+            same = (d[gap:] == d[:-gap]).astype(np.int8)
+            s[gap:] += r[:-gap] * same[:, None]
+            s[:-gap] += r[gap:] * same[:, None]
+            m[gap:] += same
+            m[:-gap] += same
+        inner = slice(lo - a, lo - a + min(CHUNK, len(ids) - lo))
+        mine = ids[a:z][inner]
+        order = np.argsort(mine)  # ties in any order: whole numbers add up to the same
+        first = np.flatnonzero(np.diff(mine[order], prepend=-1))
+        to = mine[order][first]
+        out[to] += np.add.reduceat(s[inner][order], first, axis=0, dtype=np.int32)
+        n[to] += np.add.reduceat(m[inner][order], first)
+    return n, out
+
+
+def _bags(at: np.ndarray, ids: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct words of each text: how many, which, and how often."""
+    doc = np.repeat(np.arange(len(at) - 1), np.diff(at))
+    key, many = np.unique(doc * max(1, n_words) + ids, return_counts=True)
+    return np.bincount(key // max(1, n_words), minlength=len(at) - 1), key % max(1, n_words), many
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[pa.RecordBatch]]]:
+    """A number for each BLOCK of text, the same each time the rows are read, and its parts."""
+    parts, k = blocks(batches), 0
+    ahead = next(parts, None)
+
+    def block() -> Iterator[pa.RecordBatch]:
+        nonlocal ahead
+        size = 0
+        while ahead is not None and size < BLOCK:
+            now = ahead
+            size += now.column("text").nbytes
+            yield now
+            ahead = next(parts, None)
+
+    while ahead is not None:
+        yield (ahead.column("part")[0].as_py() << 32) + k, block()
+        k += 1
+
+
+def _coded(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    at, flat = words(part.column("text"), SAME_BYTES)
     coded = flat.dictionary_encode()
-    ids = coded.indices.to_numpy().astype(np.int64)
-    cell_of, shape_of = cells_of(coded.dictionary)
-    n_docs, lens = len(col), np.diff(at)
-    doc = np.repeat(np.arange(n_docs), lens)
-    n = np.maximum(lens, 1)
-    out = np.zeros((n_docs, 2 * DIM + 10))
-    cell = cell_of[ids] if len(ids) else ids
-    for lo in range(0, n_docs, 256):  # a dense histogram for some documents at once
-        hi = min(n_docs, lo + 256)
-        own = slice(at[lo], at[hi])
-        counts = np.bincount((doc[own] - lo) * CELLS + cell[own], minlength=(hi - lo) * CELLS).reshape(hi - lo, CELLS) / n[lo:hi, None]
-        mean = counts @ vectors
-        out[lo:hi, :DIM] = mean
-        out[lo:hi, DIM : 2 * DIM] = np.sqrt(np.maximum(counts @ (vectors**2) - mean**2, 0))
-    at_word = 2 * DIM
-    shapes = np.bincount(doc * 6 + shape_of[ids], minlength=n_docs * 6).reshape(n_docs, 6) if len(ids) else np.zeros((n_docs, 6))
-    out[:, at_word : at_word + 6] = shapes / n[:, None]
-    key = np.unique(doc * max(1, len(coded.dictionary)) + ids)
-    distinct = np.bincount(key // max(1, len(coded.dictionary)), minlength=n_docs)
-    again = (ids[1:] == ids[:-1]) & (doc[1:] == doc[:-1])
-    out[:, at_word + 6] = distinct / n
-    out[:, at_word + 7] = np.bincount(doc[1:][again], minlength=n_docs) / n
-    out[:, at_word + 8] = np.log1p(lens)
-    out[:, at_word + 9] = np.log1p(distinct)
+    return at, coded.indices.to_numpy().astype(np.int64), hashes(coded.dictionary), coded.dictionary
+
+
+def _ints(x: np.ndarray) -> bytes:
+    """Whole numbers, sign last, lowest bytes of all first; bytes that are zero throughout are left out."""
+    z = ((x.astype(np.int64) << 1) ^ (x.astype(np.int64) >> 63)).view(np.uint64)
+    width = (int(z.max()).bit_length() + 7) // 8 if z.size else 0
+    return bytes([width]) + b"".join((z >> np.uint64(8 * k)).astype(np.uint8).tobytes() for k in range(width))
+
+
+def _ints_from(raw: bytes, at: int, count: int) -> tuple[np.ndarray, int]:
+    z, width = np.zeros(count, np.uint64), raw[at]
+    for k in range(width):
+        z |= np.frombuffer(raw, np.uint8, count, at + 1 + k * count).astype(np.uint64) << np.uint64(8 * k)
+    return (z >> np.uint64(1)).view(np.int64) ^ -(z & np.uint64(1)).view(np.int64), at + 1 + width * count
+
+
+def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Order of a block's words by bucket and hash, and where each bucket ends."""
+    to = (h % np.uint64(buckets)).astype(np.int64)
+    return np.lexsort((h, to)), np.cumsum(np.bincount(to, minlength=buckets))
+
+
+def _check(h: np.ndarray) -> bytes:
+    """How many words, and their hashes in one."""
+    return np.array([len(h), np.bitwise_xor.reduce(h) if len(h) else 0], np.uint64).tobytes()
+
+
+ROWS = "block long, bucket int, payload binary"
+
+
+def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    blocks_, buckets, payloads = zip(*rows, strict=True) if rows else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(blocks_, pa.int64()), pa.array(buckets, pa.int32()), pa.array(payloads, pa.binary())], ["block", "bucket", "payload"])
+
+
+def _asked(texts: DataFrame, buckets: int, turn: int) -> DataFrame:
+    """For each block and bucket the block's words: hashes, neighbours, sums of index vectors."""
+
+    def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for block, parts in _grouped(batches):
+            h, slot, used = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0  # sorted hashes, and where each one's sums are
+            n, s = np.zeros(1 << 12, np.int64), np.zeros((1 << 12, PART), np.int32)
+            for part in parts:
+                at, ids, own, _ = _coded(part)
+                m, t = _sums(ids, np.repeat(np.arange(part.num_rows), np.diff(at)), own, turn)
+                i = np.searchsorted(h, own)
+                new = (h[np.minimum(i, len(h) - 1)] != own) if len(h) else np.ones(len(own), bool)
+                fresh = np.unique(own[new])
+                i = np.searchsorted(h, fresh)
+                h, slot = np.insert(h, i, fresh), np.insert(slot, i, np.arange(used, used + len(fresh)))
+                used += len(fresh)
+                if used > len(n):
+                    n, s = (np.concatenate([x[: used - len(fresh)], np.zeros((used + used // 2, *x.shape[1:]), x.dtype)]) for x in (n, s))
+                to = slot[np.searchsorted(h, own)]
+                n[to] += m
+                s[to] += t
+            n, s = n[slot], s[slot]
+            order, ends = _by_bucket(h, buckets)
+            out, a = [], 0
+            for b, z in enumerate(ends.tolist()):
+                if z > a:
+                    own = order[a:z]
+                    out.append((block, b, pack(_check(h[own]) + h[own].tobytes() + _ints(n[own]) + _ints(s[own].ravel()))))
+                a = z
+            yield _rows(out)
+            del h, n, s
+            trim()
+
+    return texts.mapInArrow(asked, ROWS)
+
+
+def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each block of a bucket its words' totals over all blocks; and under block -1 the sum of all."""
+    pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
+
+    def done(bucket: int, held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for _, payload in held:
+            raw = unpack(payload)
+            count = int(np.frombuffer(raw, np.int64, 1)[0])
+            n, at = _ints_from(raw, 16 + 8 * count, count)
+            parts.append((np.frombuffer(raw, np.uint64, count, 16), n, _ints_from(raw, at, count * PART)[0].reshape(count, PART)))
+        h, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        n, s, a = np.zeros(len(h), np.int64), np.zeros((len(h), PART), np.int64), 0
+        for own, m, t in parts:
+            to = place[a : a + len(own)]
+            n[to] += m
+            s[to] += t
+            a += len(own)
+        yield _rows([(-1, bucket, np.append(s.sum(axis=0), n.sum()).astype(np.float64).tobytes())])
+        a, out = 0, []
+        for (block, _), (own, _, _) in zip(held, parts, strict=True):
+            to = place[a : a + len(own)]
+            out.append((block, bucket, pack(_check(own) + _ints(n[to]) + _ints(s[to].ravel()))))
+            a += len(own)
+        yield _rows(out)
+
+    now, held = None, []
+    for b in batches:
+        for block, bucket, payload in zip(*(b.column(c).to_pylist() for c in ("block", "bucket", "payload")), strict=True):
+            if bucket != now and held:
+                yield from done(now, held)
+                held = []
+                trim()
+            now = bucket
+            held.append((block, payload))
+    if held:
+        yield from done(now, held)
+
+
+def _counted(texts: DataFrame, buckets: int) -> DataFrame:
+    """For each block (in bucket -1) its documents' word counts; words are numbered in the order of the answers."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for block, parts in _grouped(batches):
+            held, doc_ids, extra = [], [], []
+            for part in parts:
+                at, ids, own, distinct = _coded(part)
+                held.append((own, np.diff(at), *_bags(at, ids, len(own))))
+                extra.append(shares(at, ids, shapes_of(distinct), held[-1][2]))
+                doc_ids += part.column("doc_id").to_pylist()
+            h = np.unique(np.concatenate([x[0] for x in held]))
+            order, ends = _by_bucket(h, buckets)
+            rank = np.empty(len(h), np.int64)
+            rank[order] = np.arange(len(h))
+            number = np.concatenate([rank[np.searchsorted(h, own)][of] for own, _, _, of, _ in held])
+            distinct, many = np.concatenate([x[2] for x in held]), np.concatenate([x[4] for x in held])
+            lens = np.concatenate([x[1] for x in held])
+            again = np.argsort(np.repeat(np.arange(len(distinct)), distinct) * max(1, len(h)) + number)
+            checks = {b: _check(h[order[a:z]]) for b, (a, z) in enumerate(zip([0, *ends.tolist()], ends.tolist(), strict=False)) if z > a}
+            bag = {"doc_ids": doc_ids, "checks": checks, "n": len(number), "docs": len(distinct), "shares": np.concatenate(extra).astype(np.float32)}
+            bag |= {k: _ints(x) for k, x in (("distinct", distinct), ("lens", lens), ("number", np.diff(number[again], prepend=0)), ("many", many[again]))}
+            yield _rows([(block, -1, pack(pickle.dumps(bag)))])
+            del held, h
+            trim()
+
+    return texts.mapInArrow(counted, ROWS)
+
+
+def pooled(distinct: np.ndarray, lens: np.ndarray, number: np.ndarray, many: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+    """2 * PART numbers for each text: mean and spread of its words' vectors."""
+    out, doc = np.zeros((len(lens), 2 * PART)), np.repeat(np.arange(len(lens)), distinct)
+    for lo in range(0, len(number), CHUNK):
+        d, v, c = doc[lo : lo + CHUNK], vectors[number[lo : lo + CHUNK]], many[lo : lo + CHUNK, None].astype(np.float32)
+        first = np.flatnonzero(np.diff(d, prepend=-1))
+        c = v * c
+        out[d[first], :PART] += np.add.reduceat(c, first, axis=0)
+        out[d[first], PART:] += np.add.reduceat(v * c, first, axis=0)
+    out /= np.maximum(lens, 1)[:, None]
+    out[:, PART:] = np.sqrt(np.maximum(out[:, PART:] - out[:, :PART] ** 2, 0))
     return out
 
 
+def features(texts: DataFrame) -> DataFrame:
+    """A written table of doc_id, x: each text pooled. In each round words go to buckets, and their totals back to the blocks."""
+    spark = texts.sparkSession
+    small_batches(spark)
+    texts = texts.withColumn("part", F.spark_partition_id())  # of the scan itself: a union numbers its tasks anew
+    n, split = texts.rdd.getNumPartitions(), int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * split // (BYTES_A_WORD * BUCKET_WORDS)))
+    before = None
+    for turn in range(ROUNDS):
+        release(spark)
+        before = _round(texts, buckets, n, turn, before)
+    return before
+
+
+def _round(texts: DataFrame, buckets: int, n: int, turn: int, before: DataFrame | None) -> DataFrame:
+    """The pooled numbers of each block's texts (in bucket -2) up to this round; after the last one a row for each text."""
+    spark = texts.sparkSession
+    answers = materialize(_asked(texts, buckets, turn).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answered, ROWS), "word-vectors")
+    release(spark)
+    total = np.sum([np.zeros(PART + 1), *(np.frombuffer(r["payload"]) for r in answers.where("block = -1").select("payload").collect())], axis=0)  # a row for each bucket
+    centre = total[:PART] / max(1.0, total[PART])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        now = bag = vectors = None
+        filled, earlier = 0, b""
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if now is None:
+                return
+            if bag is None or bag["checks"]:
+                raise RuntimeError(f"block {now}: words without a vector; the texts weren't the same when read again")
+            distinct, lens = (_ints_from(bag[k], 0, bag["docs"])[0] for k in ("distinct", "lens"))
+            number, many = np.cumsum(_ints_from(bag["number"], 0, bag["n"])[0]), _ints_from(bag["many"], 0, bag["n"])[0]
+            raw = earlier + pooled(distinct, lens, number, many, vectors).astype(np.float32).tobytes()
+            if turn < ROUNDS - 1:
+                yield _rows([(now, -2, raw)])
+                return
+            x = np.frombuffer(raw, np.float32).reshape(ROUNDS, bag["docs"], 2, PART)  # round, text, mean or spread
+            x = np.concatenate([x.transpose(1, 2, 0, 3).reshape(bag["docs"], 2 * DIM), bag["shares"]], axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(bag["doc_ids"], pa.int64()), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
+
+        for b in batches:
+            for block, bucket, payload in zip(b.column("block").to_pylist(), b.column("bucket").to_pylist(), b.column("payload"), strict=True):
+                if block != now:
+                    yield from done()
+                    trim()
+                    now, bag, filled, earlier = block, None, 0, b""
+                if bucket == -2:
+                    earlier = payload.as_py()
+                    continue
+                raw = unpack(payload.as_buffer())
+                if bucket == -1:
+                    bag = pickle.loads(raw)
+                    vectors = np.zeros((sum(int(np.frombuffer(c, np.int64, 1)[0]) for c in bag["checks"].values()), PART), np.float32)
+                    continue
+                if bag is None or bag["checks"].pop(bucket, None) != raw[:16]:
+                    raise RuntimeError(f"block {block}: other words than before; the texts weren't the same when read again")
+                count = int(np.frombuffer(raw, np.int64, 1)[0])
+                near, at = _ints_from(raw, 16, count)
+                s = _ints_from(raw, at, count * PART)[0].reshape(count, PART)
+                vectors[filled : filled + count] = np.where(near[:, None] > 0, s / np.maximum(near, 1)[:, None] - centre, 0)
+                filled += count
+        yield from done()
+
+    rows = answers.where("block >= 0").unionByName(_counted(texts, buckets))
+    rows = rows if before is None else rows.unionByName(before)
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    out = materialize(rows.repartition(max(least, n), "block").sortWithinPartitions("block", "bucket").mapInArrow(joined, "doc_id long, x binary" if turn == ROUNDS - 1 else ROWS), "pooled")
+    del rows
+    release(spark)
+    _discard(answers)
+    if before is not None:
+        _discard(before)
+    return out
+
+
+def _discard(stored: DataFrame) -> None:
+    """Deletes a table that materialize has written and nothing reads any more."""
+    jvm, spark = stored.sparkSession.sparkContext._jvm, stored.sparkSession
+    for folder in {f.rsplit("/", 1)[0] for f in stored.inputFiles()}:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 class Network:
     """tanh layer, logistic output, temperature. Inputs are standardized by what it has learnt from."""
 
@@ -184,26 +425,22 @@ class Network:
         return 1 / (1 + np.exp(-self.raw(x) / self.temperature))
 
 
-def score(docs: DataFrame, labels: DataFrame, mod: int = 4, hold: int = 2, label: str = "quality") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, mod: int = 4, hold: int = 2, label: str = "quality", inputs: slice = ALL) -> DataFrame:
     """doc_id and the probability of label 1; word vectors and network are trained first."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (remainder(F.col("doc_id"), mod) != hold))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     known = docs.sparkSession.createDataFrame(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect(), "doc_id long, y int")
-    vectors = word_vectors(texts.select("text"))
-
-    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
-            yield pa.RecordBatch.from_arrays([b.column("y"), pa.array([r.tobytes() for r in pooled(b.column("text"), vectors)], pa.binary())], ["y", "x"])
-
-    rows = texts.join(F.broadcast(known), "doc_id").select("y", "text").mapInArrow(features, "y int, x binary").collect()  # SAMPLE ids
+    pools = features(texts)
+    rows = sorted(pools.join(F.broadcast(known), "doc_id").select("doc_id", "y", "x").collect())  # SAMPLE ids
     y = np.array([r["y"] for r in rows], float)
-    network = Network(np.stack([np.frombuffer(r["x"]) for r in rows]), y) if len(set(y.tolist())) == 2 else None
+    network = Network(np.stack([np.frombuffer(r["x"], np.float32) for r in rows])[:, inputs].astype(float), y) if len(set(y.tolist())) == 2 else None
     constant = float(y.mean()) if len(y) else 0.5
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in blocks(batches):
-            p = network.probability(pooled(b.column("text"), vectors)) if network else np.full(b.num_rows, constant)
+        for b in batches:
+            x = np.frombuffer(b"".join(b.column("x").to_pylist()), np.float32).reshape(b.num_rows, 2 * DIM + N_SHARES)[:, inputs].astype(float)
+            p = network.probability(x) if network else np.full(b.num_rows, constant)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p, pa.float64())], ["doc_id", "score"])
 
-    return texts.mapInArrow(scored, "doc_id long, score double")
+    return pools.mapInArrow(scored, "doc_id long, score double")
