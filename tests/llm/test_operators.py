@@ -102,6 +102,23 @@ def test_op2(spark):
     assert all(r.verdict == ("block" if r.rule in ("net/", "example.com/de/") else "allow") for r in url_filter.judge(pages).where("rule is not null").collect())
 
 
+def test_op2_learns_from_distinct_urls(spark):
+    # copies of one blocked url have the least hash and would fill the sample alone
+    urls = [f"http://site{k}.net/buy/pills{k}" for k in range(60)] + [f"http://site{k}.org/fr/page{k}" for k in range(60)] + ["http://other.com/buy/pills7"]
+    host = lambda u: u.split("/")[2]
+    path = lambda u: "/" + u.split("/", 3)[3]
+    least = min(urls[:60], key=lambda u: spark.range(1).select(F.xxhash64(F.lit(host(u)), F.lit(path(u)))).first()[0])
+    plain = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    copies = spark.createDataFrame([(1000 + k, least) for k in range(300)], "page_id long, url string")
+    sample, url_filter.SAMPLE = url_filter.SAMPLE, 100
+    try:
+        want = {r.page_id: r.score for r in url_filter.judge(plain).collect()}
+        got = {r.page_id: r.score for r in url_filter.judge(plain.unionByName(copies)).collect()}
+    finally:
+        url_filter.SAMPLE = sample
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_op3(docs, rows, empty):
     norm = [(i, re.sub(r"[\x20\x09-\x0D]+", " ", t or "")) for i, t in rows]
     ids = {}

@@ -1,8 +1,9 @@
 """URL filters: rules first, then logistic regression on hashed character n-grams of host and path.
 
-The labelled table is small: of the urls on which a rule decides, at most SAMPLE of each verdict, those
-with the least hash. The model sees 3- to 5-grams of the host and of the path, each hashed into 2**BITS
-cells, and is trained in numpy on the driver. Scoring reads the url column alone and shuffles nothing.
+The labelled table is small: of the distinct hosts and paths on which a rule decides, at most SAMPLE of each
+verdict, those with the least hash. The model sees 3- to 5-grams of the host and of the path, each hashed into 2**BITS
+cells, and is trained in numpy on the driver. Scoring reads the url column alone
+and shuffles nothing; the sample shuffles each task's distinct hosts and paths.
 
 A null url, one without "://" and an empty one have an empty host and path; the model judges them by its
 bias. Without urls of both verdicts to learn from, the verdict of urls outside the rules is allow.
@@ -101,7 +102,7 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     urls = urls.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("said"))
     known: list = []
     for what in ("allow", "block"):
-        known += urls.where(F.col("said") == what).select("host", "path", "said", F.xxhash64("host", "path").alias("h")).orderBy("h", "host", "path").limit(SAMPLE).collect()
+        known += urls.where(F.col("said") == what).select("host", "path", "said").distinct().withColumn("h", F.xxhash64("host", "path")).orderBy("h", "host", "path").limit(SAMPLE).collect()
     blocked = np.array([r["said"] == "block" for r in known], bool)
     fitted = train([r["host"] for r in known], [r["path"] for r in known], blocked) if blocked.any() and not blocked.all() else (np.zeros(1 << BITS), -1.0)
     weights, bias = fitted[0].astype(np.float32), fitted[1]
