@@ -93,6 +93,13 @@ def test_op1(spark, docs, rows, empty):
     assert {r.doc_id: (r.item_ids, r.near_ids) for r in near.collect()} == {1: ([], ["7"]), 2: ([], [])}
 
 
+def test_leaks_of_items_without_id_are_dropped(spark):
+    d = spark.createDataFrame([(1, "x one two three y"), (2, "four five"), (3, None)], "doc_id long, text string")
+    for kind in ("long", "string"):
+        bench = spark.createDataFrame([(None, "one two three"), (None, None)], f"item_id {kind}, text string")
+        assert sorted(r.doc_id for r in decontaminate.drop_contaminated(d, bench).collect()) == [2, 3]
+
+
 def test_op2(spark):
     urls = ["https://A.NET/x", "http://b.example.net/en/1?q#f", "ftp://example.com/de/", "https://x.org/fr/2", "https://net", "nothing", None, "http://u?x", "http://notnet/", "https://q.example.com/de/a", "https://q.example.com/en/a"]
     pages = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)], "page_id long, url string, host string")

@@ -14,7 +14,7 @@ its size bounds nothing; spans of the parts are united for each document.
 
 Words: A-Z lower-cased, runs of ASCII digits, a-z and of non-ASCII characters. Null or wordless texts
 have no words and no hits. A benchmark item of fewer than `size` words is one window, one without words
-or without item_id none. Repeated items and rows are judged each for itself; other columns are ignored.
+or without item_id none (the registered SQL asks for the latter; `drop_contaminated` heeds such items). Repeated items and rows are judged each for itself; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -216,6 +216,7 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
-    """The rows of docs without any hit, with all their columns; rows of one doc_id are judged together."""
-    bad = contamination(docs, benchmark, size).where(F.size("item_ids") > 0).select("doc_id").distinct()
+    """The rows of docs without any hit, with all their columns; rows of one doc_id are judged together. Here items without item_id count too."""
+    named = benchmark.withColumn("item_id", F.coalesce(F.col("item_id").cast("string"), F.lit("")))
+    bad = contamination(docs, named, size).where(F.size("item_ids") > 0).select("doc_id").distinct()
     return without(docs, materialize(bad, "contaminated"), [("doc_id", "doc_id")])
