@@ -151,6 +151,38 @@ def test_op4(docs, rows, empty):
     assert sharding.shard(empty, 4).count() == 0
 
 
+def test_op4_balances_and_keeps_equal_texts_together(spark):
+    rng = random.Random(9)
+    texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(1, 60))) for _ in range(2000)]
+    texts += texts[:300] + [texts[5]] * 40 + [None, "", None]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = sharding.shard(d, 4).collect()
+    where = {}
+    for r in got:
+        where.setdefault(texts[r.doc_id] or "", set()).add(r["shard"])
+    assert len(got) == len(texts) and all(len(x) == 1 for x in where.values())
+    measures = {i: (len((t or "").encode()) + 1, len((t or "").split()), 1) for i, t in enumerate(texts)}
+    sums = np.array([np.sum([measures[r.doc_id] for r in got if r["shard"] == k], axis=0) for k in range(4)])
+    assert (sums.max(axis=0) <= 1.02 * sums.mean(axis=0)).all() and (sums.min(axis=0) >= 0.98 * sums.mean(axis=0)).all()
+
+
+@pytest.mark.parametrize("name", ["op1_decontamination", "op3_exact_dedup", "op10_jaccard_join"])
+def test_registered_sql(spark, name):
+    import duckdb
+
+    from titlelink.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for t in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    want = con.execute(queries.oracle_sql()[name])
+    columns = [c[0] for c in want.description]
+    got = queries.queries()[name](spark, folder)
+    assert sorted(got.columns) == sorted(columns)
+    assert sorted(map(tuple, got.select(columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
 def test_op6(docs, rows, empty):
     seen, want = {}, []
     for i, t in rows:
@@ -340,3 +372,65 @@ def test_pipeline_keeps_columns_and_runs(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "/root/testdata/sf0.001").columns == docs.columns
+
+
+def test_pipeline_rows_equal_a_plain_chain(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    text = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(300)) for _ in range(n))
+    leak = text(14)
+    docs = [text(rng.randrange(30, 120)) for _ in range(300)]
+    for i in range(0, 300, 4):
+        docs[i] = " ".join(w if rng.random() < 0.85 else rng.choice(["scumbag", "vermin", "rotter"]) for w in docs[i].split())
+    labels = [(i, int(i % 4 == 0)) for i in range(240)]
+    docs += [docs[k].replace(" ", "  ") for k in range(1, 40, 2)]  # exact copies but for white space
+    docs += [docs[k] + " edited" for k in range(101, 140, 2)]  # near copies
+    docs += [docs[k] + " " + leak for k in range(201, 220, 2)]  # leaks
+    docs += ["", None]
+    rows = list(enumerate(docs))
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    table = lambda n: spark.read.parquet(f"{tmp_path}/{n}.parquet")
+    # the model's decisions are taken as they are, all other stages are done over again
+    scores = {r.doc_id: r.score for r in toxicity.score(table("documents"), table("labels")).collect()}
+    left = [(i, t) for i, t in rows if scores[i] < 0.7]
+    counts = [len(left)]
+    first = {}
+    for i, t in left:
+        first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), i)
+    left = [(i, t) for i, t in left if i in set(first.values())]
+    counts.append(len(left))
+    sets, root = {}, {i: i for i, _ in left}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, t in left:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lowered(t))
+        sets[i] = {tuple(w[j : j + 4]) for j in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+    for a in sets:
+        for b in sets:
+            both = len(sets[a] & sets[b])
+            if a < b and sets[a] and 100 * both >= 85 * (len(sets[a]) + len(sets[b]) - both):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    left = [(i, t) for i, t in left if find(i) == i]
+    counts.append(len(left))
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    own = re.findall(pattern, lowered(leak))
+    windows = {tuple(own[j : j + 10]) for j in range(len(own) - 9)}
+    split = {i: re.findall(pattern, lowered(t)) for i, t in left}
+    left = [(i, t) for i, t in left if not any(tuple(split[i][j : j + 10]) in windows for j in range(len(split[i]) - 9))]
+    counts.append(len(left))
+    assert len(rows) > counts[0] > counts[1] > counts[2] > counts[3]  # every stage has something to drop
+    want = {i: x for (i, _), x in zip(left, _encoded(left, "byte_bpe_50k.json", 0), strict=True)}
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    tokens = dict.fromkeys(want, 0)
+    for r in got:
+        assert crc(want[r.doc_id][r.start : r.start + r["length"]]) == r.ids_crc32
+        tokens[r.doc_id] += r["length"]
+    assert tokens == {i: len(x) for i, x in want.items()}
