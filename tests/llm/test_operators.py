@@ -324,6 +324,54 @@ def test_classifiers_on_held_out_rows(spark, module, label, bad, mod, hold):
     assert module.score(d, l.where("false"), mod, hold).count() == 902
 
 
+def test_op8_learns_once_from_each_id(spark):
+    rng = random.Random(4)
+    text = lambda bad: " ".join(rng.choice(["scumbag", "vermin"]) if bad and rng.random() < 0.1 else rng.choice(WORDS) + rng.choice("abc") for _ in range(40))
+    rows = [(i, text(i % 8 == 0)) for i in range(800)]
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(600)], "doc_id long, toxic int")
+    plain = spark.createDataFrame(rows, "doc_id long, text string")
+    learnt = next(i for i in range(0, 600, 8) if zlib.crc32(str(i).encode()) % 3 != 1)
+    many = plain.unionByName(spark.createDataFrame([rows[learnt]] * 500, "doc_id long, text string"))
+    seen = []
+    real = toxicity.nnpu
+    toxicity.nnpu = lambda rows, cells, shares, positive, *a: seen.append(len(positive)) or real(rows, cells, shares, positive, *a)
+    try:
+        want = {r.doc_id: r.score for r in toxicity.score(plain, labels).collect()}
+        got = toxicity.score(many, labels).collect()
+    finally:
+        toxicity.nnpu = real
+    assert seen[0] == seen[1] and len(got) == 1300
+    assert all(abs(r.score - want[r.doc_id]) < 1e-6 for r in got)
+
+
+def test_op8_recall_and_precision_with_few_positives(spark):
+    d, l = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.score(d, l).join(l, "doc_id").where(toxicity.remainder(F.col("doc_id"), 3) == 1).select("score", "toxic").collect()
+    caught = sum(r.score >= 0.7 for r in rows if r.toxic)
+    assert caught >= 0.85 * sum(r.toxic for r in rows) and caught >= 0.7 * sum(r.score >= 0.7 for r in rows)
+
+
+def test_op2_judges_held_out_urls_by_the_model(spark):
+    rng = random.Random(2)
+    words_ = {"net": ["pills", "casino", "bets", "lotto"], "org": ["garden", "river", "museum", "notes"]}
+    url = lambda kind, top, path: f"http://{rng.choice(words_[kind])}{rng.randrange(500)}.{top}/{path}{rng.choice(words_[kind])}/{rng.randrange(90)}"
+    rows = [(k, url("net", "net", "x/") if k % 2 else url("org", "org", "fr/"), None) for k in range(600)]  # judged by the rules
+    rows += [(1000 + k, url("net" if k % 2 else "org", "info", ""), "block" if k % 2 else "allow") for k in range(200)]  # left to the model
+    got = {r.page_id: r for r in url_filter.judge(spark.createDataFrame([(i, u) for i, u, _ in rows], "page_id long, url string")).collect()}
+    held = [(got[i].verdict, v) for i, _, v in rows if v]
+    assert all(got[i].rule is None for i, _, v in rows if v)
+    assert sum(a == b for a, b in held) >= 0.97 * len(held)
+
+
+def test_least_distinct_is_that_of_the_whole_table(spark):
+    from titlelink.llm._common import least_distinct
+
+    d = spark.createDataFrame([(k % 90,) for k in range(600)] + [(7,)] * 3000, "k long")
+    want = [r.k for r in d.distinct().orderBy(F.xxhash64("k"), "k").limit(40).collect()]
+    assert [r.k for r in least_distinct(d, 40)] == want and len(least_distinct(d, 500)) == 90
+    assert least_distinct(d.where("false"), 5) == []
+
+
 def test_op5_tells_rows_apart_by_vocabulary_only(spark):
     rng = random.Random(3)
     names = sorted({"".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(16000)})

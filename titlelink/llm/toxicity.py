@@ -1,16 +1,21 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear classifier in numpy sees, for every word, cells hashed from the word and its beginnings, each
-weighted by the square root of the word's share of the document, so long texts and short ones weigh alike. It learns from
-confirmed toxic documents and unlabelled ones with the estimator
+A linear classifier in numpy sees, for every word, cells hashed from the word and from its beginning. A cell's
+value is its share of the document's words (texts under LEAST words count as LEAST), times the log of how much more
+often confirmed toxic documents have the cell than the others are to have it by the prior; cells that they don't have
+more often say nothing about toxicity and stay at zero. No cell is left out for being rare: the log of a rare one is
+drawn to zero by EVIDENCE imagined documents. The weights are learnt from confirmed toxic documents and unlabelled
+ones with the estimator
     prior * R_p(+) + max(0, R_u(-) - prior * R_p(-)),
 stepping back on the second part where it falls below zero. The prior is the share of toxic rows among
-the labelled rows that may be learnt from, and also says where the score's 0.7 lies.
-
-Bounds of what is learnt from: POSITIVES and UNLABELLED documents, those with the least hash of doc_id,
-whole texts. Every document is scored on its whole text. Labels, lang, source and doc_id are no inputs
-of a score. Labels with a null doc_id or null mark are ignored; of repeated labels the highest counts.
-Null, empty and wordless texts get the score of the bias. Without positives every score is 0.
+the labelled rows that may be learnt from, and also says where the score's 0.7 lies: about so many of the unlabelled
+documents are to reach it.
+
+Bounds of what is learnt from: POSITIVES and UNLABELLED documents, those with the least hash of doc_id, each id once
+(of several rows of an id the text with the least hash), whole texts. Every document is scored on its whole text.
+Labels, lang, source and doc_id are no inputs of a score. Labels with a null doc_id or null mark are ignored; of
+repeated labels the highest counts. Repeated rows get one score each, the same for the same text. Null, empty and
+wordless texts get the score of the bias. Without positives every score is 0. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,22 +27,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD_BYTES, binary, blocks, mix, ragged, strings, words
+from ._common import WORD_BYTES, binary, blocks, least_distinct, mix, ragged, strings, words
 from ._tokens import hashes
 
 POSITIVES = 1500
 UNLABELLED = 8000
 BITS = 18
 STEPS = 200
-#: Cells that fewer documents of the sample have (as a share of it, and fewer than three) are left out.
-RARE = 0.006
-DECAY = 1e-5
-#: How far a cell's values are brought to a common size: 0 not at all, 1 to unit variance.
-UNIT = 0.5
+DECAY = 1e-4
 RATE = 1.0
-#: The margin of score 0.7, and how far the prior may move the bias at most.
+#: Imagined documents that have every cell as often as all documents.
+EVIDENCE = 10
+#: Words that a shorter text counts as.
+LEAST = 20
+#: The margin of score 0.7, and the shares of the prior between whose quantiles it is put.
 AT_07 = float(np.log(0.7 / 0.3))
-MOST_SHIFT = 1.0
+AROUND_PRIOR = (0.9, 1.1)
 PREFIXES = (5,)
 
 
@@ -57,64 +62,81 @@ def cells_of(distinct: pa.Array) -> np.ndarray:
     return (np.stack(out, axis=1) >> np.uint64(64 - BITS)).astype(np.int32)
 
 
+def _counted(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of texts side by side: for each one's distinct cells the text, the cell and the cell's share; how many cells each text has."""
+    at, flat = words(col, WORD_BYTES)
+    coded = flat.dictionary_encode()
+    cells, ids = cells_of(coded.dictionary), coded.indices.to_numpy()
+    n = len(col)
+    text = np.repeat(np.arange(n, dtype=np.int64), np.diff(at) * cells.shape[1])
+    key, many = np.unique((text << BITS) | cells[ids].ravel(), return_counts=True)
+    text = key >> BITS
+    return text, (key & ((1 << BITS) - 1)).astype(np.int32), (many / np.maximum(np.diff(at), LEAST)[text]).astype(np.float32), np.bincount(text, minlength=n)
+
+
 def _featurized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in blocks(batches):
-        at, flat = words(b.column("text"), WORD_BYTES)
-        coded = flat.dictionary_encode()
-        cells, ids = cells_of(coded.dictionary), coded.indices.to_numpy()
-        keys, shares = [], []
-        for k in range(b.num_rows):
-            own, many = np.unique(cells[ids[at[k] : at[k + 1]]], return_counts=True)
-            keys.append(own.astype(np.int32).tobytes())
-            shares.append((many / max(1, at[k + 1] - at[k])).astype(np.float32).tobytes())
-        yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(keys, pa.binary()), pa.array(shares, pa.binary())], ["toxic", "cells", "shares"])
+        _, cells, shares, many = _counted(b.column("text"))
+        ends = np.concatenate([[0], np.cumsum(many)]).tolist()
+        parts = [[x[a:z].tobytes() for a, z in zip(ends, ends[1:], strict=False)] for x in (cells, shares)]
+        yield pa.RecordBatch.from_arrays([b.column("toxic"), *(pa.array(p, pa.binary()) for p in parts)], ["toxic", "cells", "shares"])
 
 
 def _margins(col: pa.Array, weights: np.ndarray) -> np.ndarray:
-    at, flat = words(col, WORD_BYTES)
-    coded = flat.dictionary_encode()
-    ids, cells = coded.indices.to_numpy(), cells_of(coded.dictionary)
-    out = np.zeros(len(col))
-    for k in range(len(col)):
-        if at[k + 1] > at[k]:
-            own, many = np.unique(cells[ids[at[k] : at[k + 1]]], return_counts=True)
-            out[k] = weights[own] @ np.sqrt(many / (at[k + 1] - at[k]))
-    return out
+    text, cells, shares, _ = _counted(col)
+    return np.bincount(text, weights[cells] * shares, minlength=len(col))
+
+
+def evidence(rows: np.ndarray, cells: np.ndarray, positive: np.ndarray, prior: float) -> np.ndarray:
+    """For each cell the log of its share among positives over its share among the others; never below zero."""
+    p, u = int(positive.sum()), int((~positive).sum())
+    in_p, in_u = (np.bincount(cells[of[rows]], minlength=1 << BITS) for of in (positive, ~positive))
+    others = np.maximum(in_u / u - prior * in_p / p, 0) / (1 - prior)
+    all_ = (in_p + in_u) / (p + u)
+    tiny = 1e-9
+    return np.maximum(0, np.log((in_p + EVIDENCE * all_) / (p + EVIDENCE) + tiny) - np.log((others * u + EVIDENCE * all_) / (u + EVIDENCE) + tiny))
 
 
 def nnpu(rows: np.ndarray, cells: np.ndarray, shares: np.ndarray, positive: np.ndarray, prior: float, steps: int = STEPS, rate: float = RATE) -> tuple[np.ndarray, float]:
-    """rows, cells, shares: the non-zero features; positive: by document. Logistic loss, gradient descent with momentum."""
-    n = len(positive)
-    p, u = positive, ~positive
-    # cells that too few documents have could only be learnt by heart; the others are centred and brought nearer to a common size
-    seen = np.bincount(cells, minlength=1 << BITS)
-    kept = seen[cells] >= max(3, RARE * n)
-    rows, cells, shares = rows[kept], cells[kept], np.sqrt(shares[kept])
-    used = np.flatnonzero(seen >= max(3, RARE * n))
-    place = np.zeros(1 << BITS, np.int32)
-    place[used] = np.arange(len(used))
-    cells = place[cells]
-    mean = np.bincount(cells, shares, minlength=len(used)) / max(1, n)
-    unit = 1 / np.sqrt(np.maximum(np.bincount(cells, shares * shares, minlength=len(used)) / max(1, n) - mean**2, 1e-12))
-    unit = unit**UNIT
-    shares, mean = (shares * unit[cells]).astype(np.float32), mean * unit
+    """rows, cells, shares: the non-zero features, by document; positive: of each document. Logistic loss, gradient descent with momentum."""
+    n, p, u = len(positive), positive, ~positive
+    ratio = evidence(rows, cells, positive, prior).astype(np.float32)
+    kept = ratio[cells] > 0
+    rows, cells, x = rows[kept], cells[kept], (shares * ratio[cells])[kept]
+    size = np.sqrt(max(float((x.astype(float) ** 2).sum()) / n, 1e-12))  # the mean document has length one
+    x /= np.float32(size)
+    used, cells = np.unique(cells, return_inverse=True)
+    by_cell = np.argsort(cells, kind="stable")
+    rows_of, x_of = rows[by_cell], x[by_cell]
+    first_of_cell = np.searchsorted(cells[by_cell], np.arange(len(used)))
+    full = np.flatnonzero(np.bincount(rows, minlength=n))
+    first_of_row = np.searchsorted(rows, full)
+    cells = cells.astype(np.int32)
+
+    def margin(w: np.ndarray, b: float) -> np.ndarray:
+        out = np.full(n, b)
+        if len(full):
+            out[full] += np.add.reduceat(w.astype(np.float32)[cells] * x, first_of_row, dtype=np.float64)
+        return out
+
     w, b, speed, speed_b = np.zeros(len(used)), float(np.log(prior / (1 - prior))), np.zeros(len(used)), 0.0
     for _ in range(steps):
-        g = np.bincount(rows, w[cells] * shares, minlength=n) - w @ mean + b
+        g = margin(w, b)
         sig = 1 / (1 + np.exp(-g))
         as_negative = np.logaddexp(0, g)
         rest = as_negative[u].mean() - prior * as_negative[p].mean()
         d_rest = np.where(u, sig / max(1, u.sum()), -prior * sig / max(1, p.sum()))
         d = d_rest + np.where(p, prior * (sig - 1) / max(1, p.sum()), 0) if rest >= 0 else -d_rest
-        speed = 0.9 * speed - rate * (np.bincount(cells, d[rows] * shares, minlength=len(used)) - d.sum() * mean + DECAY * w)
+        if len(used):
+            slope = np.add.reduceat(d.astype(np.float32)[rows_of] * x_of, first_of_cell, dtype=np.float64)
+            speed = 0.9 * speed - rate * (slope + DECAY * w)
         speed_b = 0.9 * speed_b - rate * d.sum()
         w, b = w + speed, b + speed_b
-    # the prior says how many of the unlabelled are toxic: as many, about, are to score 0.7 or more
-    margin = np.bincount(rows, w[cells] * shares, minlength=n) - w @ mean + b
-    b += float(np.clip(AT_07 - np.quantile(margin[u], 1 - prior), 0, MOST_SHIFT))
+    # the prior says how many of the unlabelled are toxic: as many, about, are to score 0.7 or more; the cut lies amid the gap there, if there is one
+    cut = np.quantile(margin(w, b)[u], [max(0.0, 1 - s * prior) for s in AROUND_PRIOR]).mean()
     out = np.zeros(1 << BITS)
-    out[used] = w * unit
-    return out, float(b - w @ mean)
+    out[used] = w * ratio[used] / size
+    return out, float(b + AT_07 - cut)
 
 
 def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, hold: int = 1, label: str = "toxic") -> tuple[np.ndarray, float] | None:
@@ -125,10 +147,12 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, hold: int = 1, label:
         return None
     h = F.xxhash64("doc_id")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    some = texts.where(F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), mod) != hold)).select("doc_id").orderBy(h, "doc_id").limit(UNLABELLED)
-    ids = known.where("toxic = 1").select("doc_id", "toxic").orderBy(h, "doc_id").limit(POSITIVES).unionByName(some.withColumn("toxic", F.lit(0))).collect()
-    chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int").groupBy("doc_id").agg(F.collect_list("toxic").alias("as"))  # POSITIVES + UNLABELLED rows at most
-    rows = texts.join(F.broadcast(chosen), "doc_id").select(F.explode("as").alias("toxic"), "text").mapInArrow(_featurized, "toxic int, cells binary, shares binary").collect()
+    toxic = known.where("toxic = 1").select("doc_id").orderBy(h, "doc_id").limit(POSITIVES).collect()
+    some = least_distinct(texts.where(F.col("doc_id").isNotNull() & (remainder(F.col("doc_id"), mod) != hold)).select("doc_id"), UNLABELLED)
+    ids = [(r["doc_id"], 1) for r in toxic] + [(r["doc_id"], 0) for r in some]  # POSITIVES + UNLABELLED rows at most
+    chosen = docs.sparkSession.createDataFrame(ids, "doc_id long, toxic int").groupBy("doc_id").agg(F.collect_list("toxic").alias("as"))
+    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.first("as").alias("as"))
+    rows = rows.select(F.explode("as").alias("toxic"), "text").mapInArrow(_featurized, "toxic int, cells binary, shares binary").collect()
     positive = np.array([r["toxic"] == 1 for r in rows], bool)
     if not positive.any() or positive.all():
         return None
@@ -136,7 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, hold: int = 1, label:
     shares = [np.frombuffer(r["shares"], np.float32) for r in rows]
     del rows
     at = np.repeat(np.arange(len(positive), dtype=np.int32), [len(c) for c in cells])
-    return nnpu(at, np.concatenate(cells), np.concatenate(shares), positive, min(float(prior), 0.95))
+    cells, shares = np.concatenate(cells), np.concatenate(shares)
+    return nnpu(at, cells, shares, positive, min(float(prior), 0.95))
 
 
 def score(docs: DataFrame, labels: DataFrame, mod: int = 3, hold: int = 1) -> DataFrame:

@@ -3,10 +3,12 @@
 The labelled table is small: of the distinct hosts and paths on which a rule decides, at most SAMPLE of each
 verdict, those with the least hash. The model sees 3- to 5-grams of the host and of the path, each hashed into 2**BITS
 cells, and is trained in numpy on the driver. Scoring reads the url column alone
-and shuffles nothing; the sample shuffles each task's distinct hosts and paths.
+and shuffles nothing; the sample shuffles a few distinct hosts and paths.
 
 A null url, one without "://" and an empty one have an empty host and path; the model judges them by its
-bias. Without urls of both verdicts to learn from, the verdict of urls outside the rules is allow.
+bias. Without urls of both verdicts to learn from, the verdict of urls outside the rules is allow. Rules of equal
+length that fit the same url: the later one in the list holds. Repeated urls and repeated rows each get their row, with
+the same verdict, and are learnt from once. Other columns, the page's html among them, are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import binary, mix, ragged
+from ._common import binary, least_distinct, mix, ragged
 
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -102,9 +104,9 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules
     urls = urls.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("said"))
     known: list = []
     for what in ("allow", "block"):
-        known += urls.where(F.col("said") == what).select("host", "path", "said").distinct().withColumn("h", F.xxhash64("host", "path")).orderBy("h", "host", "path").limit(SAMPLE).collect()
-    blocked = np.array([r["said"] == "block" for r in known], bool)
-    fitted = train([r["host"] for r in known], [r["path"] for r in known], blocked) if blocked.any() and not blocked.all() else (np.zeros(1 << BITS), -1.0)
+        known += [(r["host"], r["path"], what) for r in least_distinct(urls.where(F.col("said") == what).select("host", "path"), SAMPLE)]
+    blocked = np.array([x == "block" for _, _, x in known], bool)
+    fitted = train([h for h, _, _ in known], [p for _, p, _ in known], blocked) if blocked.any() and not blocked.all() else (np.zeros(1 << BITS), -1.0)
     weights, bias = fitted[0].astype(np.float32), fitted[1]
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
