@@ -183,24 +183,62 @@ def test_registered_sql(spark, name):
     assert sorted(map(tuple, got.select(columns).collect()), key=str) == sorted(want.fetchall(), key=str)
 
 
-def test_op6(docs, rows, empty):
+def _repeats_by_brute_force(rows):
     seen, want = {}, []
     for i, t in rows:
         raw = (t or "").encode()
         for p in range(len(raw) - 99):
-            seen.setdefault(raw[p : p + 100], []).append((i is None, i or 0, t, p))
+            seen.setdefault(raw[p : p + 100], set()).add((i is None, i or 0, t, p))
+    least = {x: min((n, d) for n, d, _, _ in places) for x, places in seen.items()}
     for i, t in rows:
         raw, cov = (t or "").encode(), np.zeros(len((t or "").encode()), bool)
         for p in range(len(raw) - 99):
-            if any((n, d) < (i is None, i or 0) or ((n, d, x) == (i is None, i or 0, t) and q < p) for n, d, x, q in seen[raw[p : p + 100]]):
+            x = raw[p : p + 100]
+            if least[x] < (i is None, i or 0) or (len(seen[x]) > 1 and any((n, d, u) == (i is None, i or 0, t) and q < p for n, d, u, q in seen[x])):
                 cov[p : p + 100] = True
         kept = np.frombuffer(raw, np.uint8)[~cov].tobytes()
         want.append((i, len(raw), int(cov.sum()), int((np.diff(np.concatenate([[0], cov.astype(int)])) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    return sorted(want, key=str)
+
+
+def test_op6(docs, rows, empty):
     got = suffix_dedup.remove_repeats(docs).drop("kept").collect()
-    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    assert sorted(map(tuple, got), key=str) == _repeats_by_brute_force(rows)
     assert suffix_dedup.remove_repeats(empty).count() == 0
 
 
+@pytest.mark.parametrize("shared", [None, 7])
+def test_op6_keeps_rows_of_no_id_and_of_one_id_apart(spark, shared):
+    rng = random.Random(21)
+    text = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(10**6)) for _ in range(n))
+    passage = text(14)[:150]
+    rows = [(3, "x " + passage + " y")] if shared is None else [(3, "x " + passage)]
+    rows += [(shared, text(14) + (" " + passage if k % 2 else "")) for k in range(1500)]  # half of them hold the passage
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    assert sum(r.n_removed > 0 for r in got) == 750
+    assert sorted(map(tuple, (r[:1] + r[2:] for r in got)), key=str) == _repeats_by_brute_force(rows)
+
+
+def test_op6_on_texts_beyond_a_block(spark):
+    rng = random.Random(22)
+    text = lambda n: " ".join(rng.choice(WORDS) + str(rng.randrange(10**5)) for _ in range(n))
+    one, run = text(30), "ab" * 3000
+    long = text(260_000) + one + text(40_000) + run + one
+    rows = [(5, long), (2, one), (9, run + text(50)), (4, long[-200_000:])]
+    assert len(long) > 2 * suffix_dedup.BLOCK
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).drop("kept").collect()
+    assert sorted(map(tuple, got), key=str) == _repeats_by_brute_force(rows)
+
+
+def test_op6_anchors_do_not_depend_on_the_block():
+    rng = np.random.default_rng(3)
+    one = rng.integers(97, 101, 5000).astype(np.uint8)
+    many = np.concatenate([rng.integers(97, 101, 70_000).astype(np.uint8), one])
+    at = suffix_dedup.anchors(np.array([0, 5000]), one)[0]
+    other = suffix_dedup.anchors(np.array([0, 70_000, 75_000]), many)
+    assert (other[0][other[1] == 1] - 70_000 == at).all()
+
+
 def test_simple8b_round_trip():
     rng = np.random.default_rng(1)
     for ids in (np.zeros(0), np.zeros(700), rng.integers(0, 50000, 5000), rng.integers(0, 2, 3000), np.array([1 << 63, 0, 1 << 60, (1 << 60) - 1, 3] * 3, np.uint64), rng.integers(0, 1 << 62, 3000) >> rng.integers(0, 62, 3000)):

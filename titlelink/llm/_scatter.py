@@ -17,8 +17,9 @@ FLUSH = 400_000
 BUCKET = 500_000
 
 
-def scatter(df: DataFrame, records: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], buckets: int) -> DataFrame:
-    """records yields structured arrays whose field `key` (uint64) says the bucket; rows of (bucket, payload)."""
+def scatter(df: DataFrame, records: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], buckets: int, thin: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """records yields structured arrays whose field `key` (uint64) says the bucket; rows of (bucket, payload). thin may
+    lessen or change the records that are written together."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -33,6 +34,8 @@ def scatter(df: DataFrame, records: Callable[[Iterator[pa.RecordBatch]], Iterato
             yield blobs(np.concatenate(held))
 
     def blobs(part: np.ndarray) -> pa.RecordBatch:
+        if thin is not None:
+            part = thin(part)
         to = (part["key"] % np.uint64(buckets)).astype(np.int64)
         part = part[np.lexsort((part["key"], to))]
         ends = np.cumsum(np.bincount(to, minlength=buckets))
