@@ -81,10 +81,47 @@ def test_blocking_loses_no_match(spark):
     assert found == brute and found
 
 
-def entry_carriers(spark):
+@pytest.mark.parametrize("cap", [1000, 3, 1])
+def test_pruned_pairs_lose_no_match(spark, cap):
+    from dataclasses import replace
+
+    from titlelink.config import DEFAULTS
+
+    settings = replace(DEFAULTS, token_only_cap=cap)
+    e, l = entry_carriers(spark, 400)
+    crowd = [(10_000 + k, "Hot House", ["Hot House XXX"], dt.date(2001, 1, 1 + k % 27), f"Same Words {k % 3}", ["Ann Vale", "Ann Vale"] if k % 2 else ["Bo Reed"]) for k in range(60)]
+    e = e.unionByName(spark.createDataFrame(crowd, SCHEMA))
+    titles = [f"Hot.House.2001-01-{1 + k % 27:02d}.Same.Words.{k % 3}" if k % 2 else f"[HotHouse] Ann Vale and Bo Reed - Same Words {k % 3}" for k in range(30)]
+    l = l.unionByName(spark.createDataFrame([(20_000 + k, t) for k, t in enumerate(titles)], "listing_id long, title string"))
+    full = linkage.score(linkage.candidates(l, e, settings), l, e, settings).where("confidence > 65")
+    pruned = linkage.score(linkage.strong_candidates(l, e, settings), l, e, settings).where("confidence > 65")
+    rows = lambda df: sorted(map(str, df.select("listing_id", "entity_id", "by_date", "confidence", "strong", "veto").collect()))
+    assert rows(full) == rows(pruned) and rows(full)
+
+
+@pytest.mark.parametrize("cap", [1000, 4])
+def test_cut_lists_keep_the_candidates(spark, cap):
+    from dataclasses import replace
+
+    from titlelink.config import DEFAULTS
+
+    e, l = entry_carriers(spark, 300)
+    e = e.withColumn("people", F.concat("people", F.array(F.lit("Agent5"))))  # a person whom every entity has
+    dated = {(r.listing_id, r.entity_id) for r in linkage.date_pairs(l, e).collect()}
+    by_listing = {}
+    for r in linkage.token_pairs(l, e).collect():
+        if (r.listing_id, r.entity_id) not in dated:
+            by_listing.setdefault(r.listing_id, []).append(r.entity_id)
+    want = dated | {(i, x) for i, own in by_listing.items() for x in sorted(own)[:cap]}
+    got = linkage.candidates(l, e, replace(DEFAULTS, token_only_cap=cap)).collect()
+    assert {(r.listing_id, r.entity_id) for r in got} == want and len(got) == len(want)
+    assert {(r.listing_id, r.entity_id) for r in got if r.by_date} == dated
+
+
+def entry_carriers(spark, most=150):
     from titlelink.plans.carriers import entities, listings
 
-    return entities(spark, DATA).where("entity_id < 150"), listings(spark, DATA).where("listing_id < 150")
+    return entities(spark, DATA).where(F.col("entity_id") < most), listings(spark, DATA).where(F.col("listing_id") < most)
 
 
 def test_token_bucket_matches_a_plain_fold(spark):

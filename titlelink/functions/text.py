@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..config import DEFAULTS, JUNK_TOKENS
 
 
-def _strings(values: tuple[str, ...] | list[str]) -> Column:
-    return F.array(*(F.lit(v) for v in values)) if values else F.array().cast("array<string>")
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once however often it is used."""
+    return F.transform(F.array(value), use)[0]
 
 
 def squash(c: Column) -> Column:
@@ -17,22 +20,37 @@ def squash(c: Column) -> Column:
 
 
 def tokenize(c: Column) -> Column:
-    return F.filter(F.split(F.lower(c), "[^a-z0-9]+"), lambda x: x != "")
+    return F.array_remove(F.split(F.lower(c), "[^a-z0-9]+"), "")
+
+
+def identity_of(tokens: Column) -> Column:
+    return F.filter(tokens, lambda x: ~x.isin(*JUNK_TOKENS))
+
+
+def content_of(tokens: Column) -> Column:
+    return F.filter(tokens, lambda x: ~x.isin(*JUNK_TOKENS) & ~x.rlike("^[0-9]+$"))
 
 
 def identity_tokens(c: Column) -> Column:
-    return F.filter(tokenize(c), lambda x: ~F.array_contains(_strings(JUNK_TOKENS), x))
+    return identity_of(tokenize(c))
 
 
 def content_tokens(c: Column) -> Column:
-    return F.filter(identity_tokens(c), lambda x: ~x.rlike("^[0-9]+$"))
+    return content_of(tokenize(c))
 
 
 def ngrams(tokens: Column, most: int = DEFAULTS.max_ngram) -> Column:
     """Distinct concatenations of every run of 1 to `most` tokens."""
-    n = F.size(tokens)
-    runs = F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), F.least(F.lit(most), n - i + 1)), lambda k: F.array_join(F.slice(tokens, i, k), "")))
-    return F.when(n > 0, F.array_distinct(F.flatten(runs))).otherwise(F.array().cast("array<string>"))
+
+    def every(t: Column) -> Column:
+        n, none = F.size(t), F.array().cast("array<string>")
+
+        def runs(k: int) -> Column:
+            return F.when(n >= k, F.transform(F.sequence(F.lit(0), n - k), lambda i: F.concat(*(F.get(t, i + j) for j in range(k))))).otherwise(none)
+
+        return F.array_distinct(F.concat(t, *(runs(k) for k in range(2, most + 1))))
+
+    return let(tokens, every)
 
 
 def suffix_alias(name: Column, suffix: str = DEFAULTS.suffix, min_stem: int = DEFAULTS.min_stem) -> Column:
@@ -43,13 +61,24 @@ def suffix_alias(name: Column, suffix: str = DEFAULTS.suffix, min_stem: int = DE
     return F.when(s == "", None).when(s.rlike(pattern), F.when(F.length(squash(stem)) >= min_stem, stem)).otherwise(F.concat(s, F.lit(" " + suffix)))
 
 
+def name_keys(names: Column) -> Column:
+    """What stands in a title's n-grams if one of these names does."""
+    return F.array_remove(F.transform(names, squash), "")
+
+
+def person_keys(people: Column, min_token: int = DEFAULTS.min_person_token) -> Column:
+    """The same for people, each for itself; a name of one short token is none."""
+    named = F.filter(people, lambda p: (F.length(squash(p)) >= min_token) | ((squash(p) != "") & (F.size(tokenize(p)) > 1)))
+    return F.transform(named, squash)
+
+
 def name_hit(names: Column, grams: Column) -> Column:
-    return F.exists(names, lambda x: (squash(x) != "") & F.array_contains(grams, squash(x)))
+    return F.arrays_overlap(name_keys(names), grams)
 
 
-def person_hit(name: Column, grams: Column, min_token: int = DEFAULTS.min_person_token) -> Column:
-    tokens = tokenize(name)
-    return (F.size(tokens) > 0) & ~((F.size(tokens) == 1) & (F.length(F.element_at(tokens, 1)) < min_token)) & F.array_contains(grams, squash(name))
+def person_hits(people: Column, grams: Column, min_token: int = DEFAULTS.min_person_token) -> Column:
+    """How many of the people the n-grams name; who is listed twice counts twice."""
+    return F.size(F.filter(person_keys(people, min_token), lambda k: F.array_contains(grams, k)))
 
 
 # What marks a resolution, a source and a codec, in order of preference, and its canonical token.

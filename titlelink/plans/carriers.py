@@ -58,11 +58,12 @@ def _views(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _views(spark, sf_dir, dialect(ENTITIES, False))
+    e = e.repartition("entity_id")  # the test tables are one file each
     return e.select("entity_id", "publisher", F.array(F.concat("publisher", F.lit(" XXX"))).alias("aliases"), F.col("d").alias("date"), "title", F.array_compact(F.array("person1", "person2")).alias("people"))
 
 
 def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _views(spark, sf_dir, dialect(LISTINGS, False))
+    return _views(spark, sf_dir, dialect(LISTINGS, False)).repartition("listing_id")
 
 
 def with_duck(sql: str) -> str:

@@ -35,8 +35,8 @@ def fn_squash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fn_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("title")
-    return listings(spark, sf_dir).select("listing_id", _joined(T.tokenize(t)).alias("tokens"), _joined(T.content_tokens(t)).alias("content"), _joined(T.identity_tokens(t)).alias("identity"))
+    l, t = listings(spark, sf_dir).select("listing_id", T.tokenize(F.col("title")).alias("t")), F.col("t")
+    return l.select("listing_id", _joined(t).alias("tokens"), _joined(T.content_of(t)).alias("content"), _joined(T.identity_of(t)).alias("identity"))
 
 
 def fn_suffix_alias(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def fn_name_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = entities(spark, sf_dir).select("entity_id", "publisher", "aliases", "people")
     l = listings(spark, sf_dir).select(F.col("listing_id").alias("entity_id"), T.ngrams(T.tokenize(F.col("title"))).alias("g"))
     j = e.join(l, "entity_id")
-    return j.select("entity_id", T.name_hit(F.concat(F.array("publisher"), "aliases"), F.col("g")).alias("site"), F.size(F.filter("people", lambda p: T.person_hit(p, F.col("g")))).cast("long").alias("hits"))
+    return j.select("entity_id", T.name_hit(F.concat(F.array("publisher"), "aliases"), F.col("g")).alias("site"), T.person_hits(F.col("people"), F.col("g")).cast("long").alias("hits"))
 
 
 def fn_quality_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -214,9 +214,9 @@ def import_pack_final(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def import_pack_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every listing as a file of a pack, scored against the catalog."""
+    """Every listing as a file of a pack, scored against the catalog. Verdicts ask for confidences down to threshold - margin alone."""
     e, l = entities(spark, sf_dir), listings(spark, sf_dir)
-    s = linkage.score(linkage.candidates(l, e), l, e).select(F.col("listing_id").alias("file_id"), "entity_id", "confidence", F.size("strong").alias("n_strong"))
+    s = linkage.score(linkage.strong_candidates(l, e), l, e).select(F.col("listing_id").alias("file_id"), "entity_id", "confidence", F.size("strong").alias("n_strong"))
     files = l.select(F.col("listing_id").alias("file_id"), F.floor(F.col("listing_id") / 5).alias("download_id"), F.lit(-1).cast("long").alias("grabbed_id"), F.lit(None).cast("long").alias("movie_id"), F.array().cast("array<string>").alias("rejections"))
     return decisions.judge_files(files, s)
 
