@@ -425,18 +425,35 @@ def test_op5_tells_rows_apart_by_vocabulary_only(spark):
     assert sum((s >= 0.7) == (y == 1) for s, y in held) >= 0.95 * len(held)
 
 
+def test_op5_learns_once_from_each_id(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(WORDS) + ("!!" if i % 5 == 0 else "") for _ in range(30))) for i in range(200)]
+    labels = spark.createDataFrame([(i, int(i % 5 != 0)) for i in range(200)], "doc_id long, quality int")
+    learnt = next(i for i in range(200) if zlib.crc32(str(i).encode()) % 4 != 2)
+    seen, real = [], quality.Network
+    quality.Network = lambda x, y, *a: seen.append(len(y)) or real(x, y, *a)
+    try:
+        got = quality.score(spark.createDataFrame(rows + [rows[learnt]] * 90, "doc_id long, text string"), labels).collect()
+    finally:
+        quality.Network = real
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 4 != 2 for i in range(200))]
+    same = [r.score for r in got if r.doc_id == learnt]
+    assert len(got) == 290 and len(same) == 91 and max(same) - min(same) < 1e-9
+
+
 def test_op5_word_vectors_equal_brute_force(spark):
     rng = random.Random(6)
     texts = [" ".join(rng.choice(WORDS) + str(rng.randrange(9)) for _ in range(rng.randrange(0, 40))) for _ in range(60)] + [None, "", "alone"]
     import pyarrow as pa
 
-    vocabulary = sorted({w for t in texts for w in (t or "").split()})
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(t))
+    vocabulary = sorted({w for t in texts for w in split(t)})
     h = quality.hashes(pa.array(vocabulary, pa.large_string()))
-    own = dict(zip(vocabulary, np.concatenate([quality.index_vectors(h, turn).astype(int) for turn in range(quality.ROUNDS)], axis=1), strict=True))
+    own = dict(zip(vocabulary, quality.index_vectors(h).astype(int), strict=True))
     assert all(np.abs(v).sum() == quality.ONES for v in own.values()) and len({v.tobytes() for v in own.values()}) == len(vocabulary)
     total, near = {w: np.zeros(quality.DIM) for w in vocabulary}, dict.fromkeys(vocabulary, 0)
     for t in texts:
-        w = (t or "").split()
+        w = split(t)
         for i, x in enumerate(w):
             for y in w[max(0, i - 2) : i] + w[i + 1 : i + 3]:
                 total[x] += own[y]
@@ -445,7 +462,7 @@ def test_op5_word_vectors_equal_brute_force(spark):
     d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)  # as many blocks
     got = {r.doc_id: np.frombuffer(r.x, np.float32)[quality.WORD_VECTORS] for r in quality.features(d).collect()}
     for i, t in enumerate(texts):
-        v = np.array([total[x] / near[x] - centre if near[x] else np.zeros(quality.DIM) for x in (t or "").split()]).reshape(-1, quality.DIM)
+        v = np.array([total[x] / near[x] - centre if near[x] else np.zeros(quality.DIM) for x in split(t)]).reshape(-1, quality.DIM)
         want = np.concatenate([v.mean(axis=0), v.std(axis=0)]) if len(v) else np.zeros(2 * quality.DIM)
         assert np.allclose(got[i], want, atol=1e-3)
 

@@ -1,23 +1,24 @@
 """Quality: random-indexing word vectors, pooled per document, into a two-layer numpy network.
 
-Every word (between white space) has a sparse random index vector of its own, derived from its 64-bit hash
-without a table. A word's vector is the mean of the index vectors of all words that stand within two words
+Every word (a run of letters and digits, A-Z lower-cased) has a sparse random index vector of its own, derived from its
+64-bit hash without a table. A word's vector is the mean of the index vectors of all words that stand within two words
 of it anywhere in the corpus, centred on the corpus mean. Tasks sum the index vectors around each word over
 a block of documents (BLOCK bytes of text, or one longer document) and shuffle these sums by word; a word's
 total goes back to every block that has the word, where it meets the documents' word counts. So no table of
-words is held anywhere, however many there are. The dimensions don't depend on each other and are dealt with in
-ROUNDS rounds, so that the disk holds the sums of one round at a time. A document is pooled into the mean and the spread of its
-words' vectors, and ten shares of its own that no word vector holds (shapes of words, distinct words, repeated
-neighbours, length); the README says what each part adds. A network with one hidden layer learns from at most
+words is held anywhere, however many there are, and none is stored: the centre, which is known last, is taken off the
+pooled means and squares instead of off each vector. A document is pooled into the mean and the spread of its
+words' vectors, and ten shares of its own that no word vector holds (of the shapes of what stands between white space,
+distinct ones, repeated neighbours, length); the README says what each part adds. A network with one hidden layer learns from at most
 SAMPLE labelled rows, and a temperature, fitted on a fifth of them that it hasn't seen, calibrates its probabilities.
 
-The texts are read twice in each round; a block that isn't the same each time (rows that a source gives in another order)
+The texts are read twice; a block that isn't the same each time (rows that a source gives in another order)
 ends the run with an error instead of mixing up words.
 
 Words of one 64-bit hash count as one word. Word statistics cover all documents and whole texts. Labels, lang, source and doc_id are no inputs of a
-score. Labels with null doc_id or mark are ignored; of repeated labels the highest counts. Null, empty
+score. Labels with null doc_id or mark are ignored; of repeated labels the highest counts. Repeated rows of an id are
+learnt from once (the row with the least pooled numbers) and get a score each. Null, empty
 and wordless texts are pooled as zeros and scored like any other. Without labels every score is 0.5,
-with those of one kind only it is that kind.
+with those of one kind only it is that kind. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import SAME_BYTES, binary, blocks, materialize, mix, small_batches, trim, words
+from ._common import SAME_BYTES, WORD_BYTES, binary, blocks, materialize, mix, small_batches, trim, words
 from ._scatter import release
 from ._tokens import hashes
 from .toxicity import remainder
@@ -39,9 +40,6 @@ from .toxicity import remainder
 SAMPLE = 8000
 DIM = 48
 ONES = 8
-ROUNDS = 2
-#: Dimensions of a round.
-PART = DIM // ROUNDS
 #: Bytes of text whose words are summed before they are shuffled.
 BLOCK = 32 << 20
 #: Words (each counted once in a block) of a bucket, about, and bytes of a stored table for each.
@@ -56,11 +54,11 @@ HIDDEN = 32
 EPOCHS = 60
 
 
-def index_vectors(h: np.ndarray, turn: int, seed: int = 11) -> np.ndarray:
-    """Of words by their hashes, a round's part of the dimensions. In all ONES entries of +1 or -1, one in each ONES-th of the dimensions."""
-    wide, few = DIM // ONES, ONES // ROUNDS
-    out, x, rows = np.zeros((len(h), PART), np.int8), mix(h + np.uint64(seed)) // np.uint64((2 * wide) ** (turn * few)), np.arange(len(h))
-    for k in range(few):
+def index_vectors(h: np.ndarray, seed: int = 11) -> np.ndarray:
+    """Of words by their hashes: ONES entries of +1 or -1, one in each ONES-th of the dimensions."""
+    wide = DIM // ONES
+    out, x, rows = np.zeros((len(h), DIM), np.int8), mix(h + np.uint64(seed)), np.arange(len(h))
+    for k in range(ONES):
         digit = (x % np.uint64(2 * wide)).astype(np.int64)
         x = x // np.uint64(2 * wide)
         out[rows, k * wide + digit // 2] = 1 - 2 * (digit % 2)
@@ -82,19 +80,23 @@ def shapes_of(distinct: pa.Array) -> np.ndarray:
     return np.select([symbol == lens, (upper >= 2) & (lower == 0), symbol >= 2, digit > 0, lower + upper + symbol == lens], [4, 1, 2, 3, 0], 5)
 
 
-def shares(at: np.ndarray, ids: np.ndarray, shape_of: np.ndarray, distinct: np.ndarray) -> np.ndarray:
-    """N_SHARES numbers for each text: of each shape, distinct words, words that repeat the one before, logs of both counts."""
+def shares(col: pa.Array) -> np.ndarray:
+    """N_SHARES numbers for each text, of what stands between white space: shares of each shape, of distinct ones, of those that repeat the one before, logs of both counts."""
+    at, flat = words(col, SAME_BYTES)
+    coded = flat.dictionary_encode()
+    ids, shape_of = coded.indices.to_numpy().astype(np.int64), shapes_of(coded.dictionary)
     lens = np.diff(at)
     doc, n = np.repeat(np.arange(len(lens)), lens), np.maximum(lens, 1)
+    distinct = _bags(at, ids, len(coded.dictionary))[0]
     again = (ids[1:] == ids[:-1]) & (doc[1:] == doc[:-1])
     shapes = np.bincount(doc * 6 + shape_of[ids], minlength=len(lens) * 6).reshape(len(lens), 6)
     repeated = np.bincount(doc[1:][again], minlength=len(lens))
     return np.column_stack([shapes / n[:, None], distinct / n, repeated / n, np.log1p(lens), np.log1p(distinct)])
 
 
-def _sums(ids: np.ndarray, doc: np.ndarray, h: np.ndarray, turn: int) -> tuple[np.ndarray, np.ndarray]:
+def _sums(ids: np.ndarray, doc: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each word its neighbours within two words, and the sum of their index vectors."""
-    own, n, out = index_vectors(h, turn), np.zeros(len(h), np.int64), np.zeros((len(h), PART), np.int32)
+    own, n, out = index_vectors(h), np.zeros(len(h), np.int64), np.zeros((len(h), DIM), np.int32)
     for lo in range(0, len(ids), CHUNK):
         a, z = max(0, lo - 2), min(len(ids), lo + CHUNK + 2)
         r, d = own[ids[a:z]], doc[a:z]
@@ -141,10 +143,11 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[
         k += 1
 
 
-def _coded(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    at, flat = words(part.column("text"), SAME_BYTES)
+def _coded(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets of each text's words, the words' numbers, their hashes."""
+    at, flat = words(part.column("text"), WORD_BYTES)
     coded = flat.dictionary_encode()
-    return at, coded.indices.to_numpy().astype(np.int64), hashes(coded.dictionary), coded.dictionary
+    return at, coded.indices.to_numpy().astype(np.int64), hashes(coded.dictionary)
 
 
 def _ints(x: np.ndarray) -> bytes:
@@ -180,17 +183,17 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(blocks_, pa.int64()), pa.array(buckets, pa.int32()), pa.array(payloads, pa.binary())], ["block", "bucket", "payload"])
 
 
-def _asked(texts: DataFrame, buckets: int, turn: int) -> DataFrame:
+def _asked(texts: DataFrame, buckets: int) -> DataFrame:
     """For each block and bucket the block's words: hashes, neighbours, sums of index vectors."""
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3).compress
         for block, parts in _grouped(batches):
             h, slot, used = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0  # sorted hashes, and where each one's sums are
-            n, s = np.zeros(1 << 12, np.int64), np.zeros((1 << 12, PART), np.int32)
+            n, s = np.zeros(1 << 12, np.int64), np.zeros((1 << 12, DIM), np.int32)
             for part in parts:
-                at, ids, own, _ = _coded(part)
-                m, t = _sums(ids, np.repeat(np.arange(part.num_rows), np.diff(at)), own, turn)
+                at, ids, own = _coded(part)
+                m, t = _sums(ids, np.repeat(np.arange(part.num_rows), np.diff(at)), own)
                 i = np.searchsorted(h, own)
                 new = (h[np.minimum(i, len(h) - 1)] != own) if len(h) else np.ones(len(own), bool)
                 fresh = np.unique(own[new])
@@ -218,7 +221,7 @@ def _asked(texts: DataFrame, buckets: int, turn: int) -> DataFrame:
 
 
 def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block of a bucket its words' totals over all blocks; and under block -1 the sum of all."""
+    """For each block of a bucket its words' totals over all blocks; and under block -1 the sum of all the bucket's words."""
     pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
 
     def done(bucket: int, held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -227,9 +230,9 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = unpack(payload)
             count = int(np.frombuffer(raw, np.int64, 1)[0])
             n, at = _ints_from(raw, 16 + 8 * count, count)
-            parts.append((np.frombuffer(raw, np.uint64, count, 16), n, _ints_from(raw, at, count * PART)[0].reshape(count, PART)))
+            parts.append((np.frombuffer(raw, np.uint64, count, 16), n, _ints_from(raw, at, count * DIM)[0].reshape(count, DIM)))
         h, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        n, s, a = np.zeros(len(h), np.int64), np.zeros((len(h), PART), np.int64), 0
+        n, s, a = np.zeros(len(h), np.int64), np.zeros((len(h), DIM), np.int64), 0
         for own, m, t in parts:
             to = place[a : a + len(own)]
             n[to] += m
@@ -264,9 +267,9 @@ def _counted(texts: DataFrame, buckets: int) -> DataFrame:
         for block, parts in _grouped(batches):
             held, doc_ids, extra = [], [], []
             for part in parts:
-                at, ids, own, distinct = _coded(part)
+                at, ids, own = _coded(part)
                 held.append((own, np.diff(at), *_bags(at, ids, len(own))))
-                extra.append(shares(at, ids, shapes_of(distinct), held[-1][2]))
+                extra.append(shares(part.column("text")))
                 doc_ids += part.column("doc_id").to_pylist()
             h = np.unique(np.concatenate([x[0] for x in held]))
             order, ends = _by_bucket(h, buckets)
@@ -286,103 +289,95 @@ def _counted(texts: DataFrame, buckets: int) -> DataFrame:
     return texts.mapInArrow(counted, ROWS)
 
 
-def pooled(distinct: np.ndarray, lens: np.ndarray, number: np.ndarray, many: np.ndarray, vectors: np.ndarray) -> np.ndarray:
-    """2 * PART numbers for each text: mean and spread of its words' vectors."""
-    out, doc = np.zeros((len(lens), 2 * PART)), np.repeat(np.arange(len(lens)), distinct)
+def pooled(distinct: np.ndarray, lens: np.ndarray, number: np.ndarray, many: np.ndarray, vectors: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """2 * DIM + 1 numbers for each text: means of its words' vectors and of their squares, and the share of words that have one (known)."""
+    out, doc = np.zeros((len(lens), 2 * DIM + 1)), np.repeat(np.arange(len(lens)), distinct)
     for lo in range(0, len(number), CHUNK):
         d, v, c = doc[lo : lo + CHUNK], vectors[number[lo : lo + CHUNK]], many[lo : lo + CHUNK, None].astype(np.float32)
         first = np.flatnonzero(np.diff(d, prepend=-1))
-        c = v * c
-        out[d[first], :PART] += np.add.reduceat(c, first, axis=0)
-        out[d[first], PART:] += np.add.reduceat(v * c, first, axis=0)
-    out /= np.maximum(lens, 1)[:, None]
-    out[:, PART:] = np.sqrt(np.maximum(out[:, PART:] - out[:, :PART] ** 2, 0))
-    return out
+        w = v * c
+        out[d[first], :DIM] += np.add.reduceat(w, first, axis=0)
+        out[d[first], DIM:-1] += np.add.reduceat(v * w, first, axis=0)
+        out[d[first], -1] += np.add.reduceat(known[number[lo : lo + CHUNK]] * c[:, 0], first)
+    return out / np.maximum(lens, 1)[:, None]
+
+
+def centred(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Mean and spread of the centred vectors, and the shares, from what a table of features() holds for each text."""
+    mean, square, known = x[:, :DIM], x[:, DIM : 2 * DIM], x[:, 2 * DIM : 2 * DIM + 1]
+    m = mean - known * centre
+    spread = np.sqrt(np.maximum(square - 2 * centre * mean + known * centre**2 - m**2, 0))
+    return np.concatenate([m, spread, x[:, 2 * DIM + 1 :]], axis=1)
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each block's word counts meet the words' totals: a row for each text, and one (total) for each bucket."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    now = bag = vectors = known = None
+    filled = 0
+
+    def out(totals: list, doc_ids: list, x: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(totals, pa.binary()), pa.array(doc_ids, pa.int64()), pa.array(x, pa.binary())], ["total", "doc_id", "x"])
+
+    def done() -> Iterator[pa.RecordBatch]:
+        if now is None:
+            return
+        if bag is None or bag["checks"]:
+            raise RuntimeError(f"block {now}: words without a vector; the texts weren't the same when read again")
+        distinct, lens = (_ints_from(bag[k], 0, bag["docs"])[0] for k in ("distinct", "lens"))
+        number, many = np.cumsum(_ints_from(bag["number"], 0, bag["n"])[0]), _ints_from(bag["many"], 0, bag["n"])[0]
+        x = np.concatenate([pooled(distinct, lens, number, many, vectors, known).astype(np.float32), bag["shares"]], axis=1)
+        yield out([None] * bag["docs"], bag["doc_ids"], [r.tobytes() for r in x])
+
+    for b in batches:
+        for block, bucket, payload in zip(b.column("block").to_pylist(), b.column("bucket").to_pylist(), b.column("payload"), strict=True):
+            if block == -1:
+                yield out([payload.as_py()], [None], [None])
+                continue
+            if block != now:
+                yield from done()
+                trim()
+                now, bag, filled = block, None, 0
+            raw = unpack(payload.as_buffer())
+            if bucket == -1:
+                bag = pickle.loads(raw)
+                size = sum(int(np.frombuffer(c, np.int64, 1)[0]) for c in bag["checks"].values())
+                vectors, known = np.zeros((size, DIM), np.float32), np.zeros(size, np.float32)
+                continue
+            if bag is None or bag["checks"].pop(bucket, None) != raw[:16]:
+                raise RuntimeError(f"block {block}: other words than before; the texts weren't the same when read again")
+            count = int(np.frombuffer(raw, np.int64, 1)[0])
+            near, at = _ints_from(raw, 16, count)
+            s = _ints_from(raw, at, count * DIM)[0].reshape(count, DIM)
+            vectors[filled : filled + count] = s / np.maximum(near, 1)[:, None]
+            known[filled : filled + count] = near > 0
+            filled += count
+    yield from done()
 
 
 def features(texts: DataFrame) -> DataFrame:
-    """A written table of doc_id, x: each text pooled. In each round words go to buckets, and their totals back to the blocks."""
+    """doc_id, x (float32: mean and spread of the word vectors, shares) of each text. Words' sums go to buckets, and their totals back to the blocks."""
     spark = texts.sparkSession
     small_batches(spark)
+    release(spark)
     texts = texts.withColumn("part", F.spark_partition_id())  # of the scan itself: a union numbers its tasks anew
     n, split = texts.rdd.getNumPartitions(), int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * split // (BYTES_A_WORD * BUCKET_WORDS)))
-    before = None
-    for turn in range(ROUNDS):
-        release(spark)
-        before = _round(texts, buckets, n, turn, before)
-    return before
-
-
-def _round(texts: DataFrame, buckets: int, n: int, turn: int, before: DataFrame | None) -> DataFrame:
-    """The pooled numbers of each block's texts (in bucket -2) up to this round; after the last one a row for each text."""
-    spark = texts.sparkSession
-    answers = materialize(_asked(texts, buckets, turn).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answered, ROWS), "word-vectors")
-    release(spark)
-    total = np.sum([np.zeros(PART + 1), *(np.frombuffer(r["payload"]) for r in answers.where("block = -1").select("payload").collect())], axis=0)  # a row for each bucket
-    centre = total[:PART] / max(1.0, total[PART])
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor().decompress
-        now = bag = vectors = None
-        filled, earlier = 0, b""
-
-        def done() -> Iterator[pa.RecordBatch]:
-            if now is None:
-                return
-            if bag is None or bag["checks"]:
-                raise RuntimeError(f"block {now}: words without a vector; the texts weren't the same when read again")
-            distinct, lens = (_ints_from(bag[k], 0, bag["docs"])[0] for k in ("distinct", "lens"))
-            number, many = np.cumsum(_ints_from(bag["number"], 0, bag["n"])[0]), _ints_from(bag["many"], 0, bag["n"])[0]
-            raw = earlier + pooled(distinct, lens, number, many, vectors).astype(np.float32).tobytes()
-            if turn < ROUNDS - 1:
-                yield _rows([(now, -2, raw)])
-                return
-            x = np.frombuffer(raw, np.float32).reshape(ROUNDS, bag["docs"], 2, PART)  # round, text, mean or spread
-            x = np.concatenate([x.transpose(1, 2, 0, 3).reshape(bag["docs"], 2 * DIM), bag["shares"]], axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(bag["doc_ids"], pa.int64()), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "x"])
-
-        for b in batches:
-            for block, bucket, payload in zip(b.column("block").to_pylist(), b.column("bucket").to_pylist(), b.column("payload"), strict=True):
-                if block != now:
-                    yield from done()
-                    trim()
-                    now, bag, filled, earlier = block, None, 0, b""
-                if bucket == -2:
-                    earlier = payload.as_py()
-                    continue
-                raw = unpack(payload.as_buffer())
-                if bucket == -1:
-                    bag = pickle.loads(raw)
-                    vectors = np.zeros((sum(int(np.frombuffer(c, np.int64, 1)[0]) for c in bag["checks"].values()), PART), np.float32)
-                    continue
-                if bag is None or bag["checks"].pop(bucket, None) != raw[:16]:
-                    raise RuntimeError(f"block {block}: other words than before; the texts weren't the same when read again")
-                count = int(np.frombuffer(raw, np.int64, 1)[0])
-                near, at = _ints_from(raw, 16, count)
-                s = _ints_from(raw, at, count * PART)[0].reshape(count, PART)
-                vectors[filled : filled + count] = np.where(near[:, None] > 0, s / np.maximum(near, 1)[:, None] - centre, 0)
-                filled += count
-        yield from done()
-
-    rows = answers.where("block >= 0").unionByName(_counted(texts, buckets))
-    rows = rows if before is None else rows.unionByName(before)
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    out = materialize(rows.repartition(max(least, n), "block").sortWithinPartitions("block", "bucket").mapInArrow(joined, "doc_id long, x binary" if turn == ROUNDS - 1 else ROWS), "pooled")
-    del rows
+    buckets = max(least, -(-n * split // (BYTES_A_WORD * BUCKET_WORDS)))
+    answers = _asked(texts, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answered, ROWS)
+    rows = answers.unionByName(_counted(texts, buckets)).repartition(max(least, n), "block").sortWithinPartitions("block", "bucket")
+    pools = materialize(rows.mapInArrow(_joined, "total binary, doc_id long, x binary"), "pooled")
+    del rows, answers
     release(spark)
-    _discard(answers)
-    if before is not None:
-        _discard(before)
-    return out
+    total = np.sum([np.zeros(DIM + 1), *(np.frombuffer(r["total"]) for r in pools.where("total is not null").select("total").collect())], axis=0)  # a row for each bucket
+    centre = total[:DIM] / max(1.0, total[DIM])
 
+    def moved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x = np.frombuffer(b"".join(b.column("x").to_pylist()), np.float32).reshape(b.num_rows, 2 * DIM + 1 + N_SHARES).astype(float)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([r.tobytes() for r in centred(x, centre).astype(np.float32)], pa.binary())], ["doc_id", "x"])
 
-def _discard(stored: DataFrame) -> None:
-    """Deletes a table that materialize has written and nothing reads any more."""
-    jvm, spark = stored.sparkSession.sparkContext._jvm, stored.sparkSession
-    for folder in {f.rsplit("/", 1)[0] for f in stored.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+    return pools.where("total is null").select("doc_id", "x").mapInArrow(moved, "doc_id long, x binary")
 
 
 class Network:
@@ -432,7 +427,7 @@ def score(docs: DataFrame, labels: DataFrame, mod: int = 4, hold: int = 2, label
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(label).cast("int").alias("y"))
     known = docs.sparkSession.createDataFrame(known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).collect(), "doc_id long, y int")
     pools = features(texts)
-    rows = sorted(pools.join(F.broadcast(known), "doc_id").select("doc_id", "y", "x").collect())  # SAMPLE ids
+    rows = sorted(pools.join(F.broadcast(known), "doc_id").groupBy("doc_id", "y").agg(F.min("x").alias("x")).collect())  # SAMPLE ids
     y = np.array([r["y"] for r in rows], float)
     network = Network(np.stack([np.frombuffer(r["x"], np.float32) for r in rows])[:, inputs].astype(float), y) if len(set(y.tolist())) == 2 else None
     constant = float(y.mean()) if len(y) else 0.5
