@@ -45,6 +45,8 @@ BLOCK = 32 << 20
 #: Words (each counted once in a block) of a bucket, about, and bytes of a stored table for each.
 BUCKET_WORDS = 150_000
 BYTES_A_WORD = 32
+#: Entries of a vector are exact for words of so many neighbours at most, and rounded to such a share for others.
+FINE = 512
 #: Words whose vectors are held at once in pooling and summing.
 CHUNK = 100_000
 #: What the network may see of a text's numbers.
@@ -164,6 +166,17 @@ def _ints_from(raw: bytes, at: int, count: int) -> tuple[np.ndarray, int]:
     return (z >> np.uint64(1)).view(np.int64) ^ -(z & np.uint64(1)).view(np.int64), at + 1 + width * count
 
 
+def _sums_by_count(n: np.ndarray, s: np.ndarray) -> bytes:
+    """Sums in the order of their counts, since those of like counts are of like size; the counts are known to who reads them."""
+    return _ints(s[np.argsort(n, kind="stable")].ravel())
+
+
+def _sums_from(raw: bytes, at: int, n: np.ndarray) -> np.ndarray:
+    out = np.empty((len(n), DIM), np.int64)
+    out[np.argsort(n, kind="stable")] = _ints_from(raw, at, len(n) * DIM)[0].reshape(len(n), DIM)
+    return out
+
+
 def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Order of a block's words by bucket and hash, and where each bucket ends."""
     to = (h % np.uint64(buckets)).astype(np.int64)
@@ -211,7 +224,8 @@ def _asked(texts: DataFrame, buckets: int) -> DataFrame:
             for b, z in enumerate(ends.tolist()):
                 if z > a:
                     own = order[a:z]
-                    out.append((block, b, pack(_check(h[own]) + h[own].tobytes() + _ints(n[own]) + _ints(s[own].ravel()))))
+                    gaps = np.diff((h[own] // np.uint64(buckets)).astype(np.int64), prepend=0)  # ascending; the bucket says the rest of each hash
+                    out.append((block, b, pack(_check(h[own]) + _ints(gaps) + _ints(n[own]) + _sums_by_count(n[own], s[own]))))
                 a = z
             yield _rows(out)
             del h, n, s
@@ -220,8 +234,8 @@ def _asked(texts: DataFrame, buckets: int) -> DataFrame:
     return texts.mapInArrow(asked, ROWS)
 
 
-def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each block of a bucket its words' totals over all blocks; and under block -1 the sum of all the bucket's words."""
+def _answered(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """For each block of a bucket its words' totals over all blocks, from FINE neighbours on as FINE-ths of them; and under block -1 the sum of all the bucket's words."""
     pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
 
     def done(bucket: int, held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
@@ -229,8 +243,9 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, payload in held:
             raw = unpack(payload)
             count = int(np.frombuffer(raw, np.int64, 1)[0])
-            n, at = _ints_from(raw, 16 + 8 * count, count)
-            parts.append((np.frombuffer(raw, np.uint64, count, 16), n, _ints_from(raw, at, count * DIM)[0].reshape(count, DIM)))
+            gaps, at = _ints_from(raw, 16, count)
+            n, at = _ints_from(raw, at, count)
+            parts.append((np.cumsum(gaps).astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket), n, _sums_from(raw, at, n)))
         h, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         n, s, a = np.zeros(len(h), np.int64), np.zeros((len(h), DIM), np.int64), 0
         for own, m, t in parts:
@@ -239,10 +254,12 @@ def _answered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s[to] += t
             a += len(own)
         yield _rows([(-1, bucket, np.append(s.sum(axis=0), n.sum()).astype(np.float64).tobytes())])
+        many = np.flatnonzero(n > FINE)
+        s[many] = np.rint(s[many] * (FINE / n[many, None]))
         a, out = 0, []
         for (block, _), (own, _, _) in zip(held, parts, strict=True):
             to = place[a : a + len(own)]
-            out.append((block, bucket, pack(_check(own) + _ints(n[to]) + _ints(s[to].ravel()))))
+            out.append((block, bucket, pack(_check(own) + _ints(n[to]) + _sums_by_count(n[to], s[to]))))
             a += len(own)
         yield _rows(out)
 
@@ -348,8 +365,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 raise RuntimeError(f"block {block}: other words than before; the texts weren't the same when read again")
             count = int(np.frombuffer(raw, np.int64, 1)[0])
             near, at = _ints_from(raw, 16, count)
-            s = _ints_from(raw, at, count * DIM)[0].reshape(count, DIM)
-            vectors[filled : filled + count] = s / np.maximum(near, 1)[:, None]
+            vectors[filled : filled + count] = _sums_from(raw, at, near) / np.clip(near, 1, FINE)[:, None]
             known[filled : filled + count] = near > 0
             filled += count
     yield from done()
@@ -364,7 +380,7 @@ def features(texts: DataFrame) -> DataFrame:
     n, split = texts.rdd.getNumPartitions(), int(spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(least, -(-n * split // (BYTES_A_WORD * BUCKET_WORDS)))
-    answers = _asked(texts, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(_answered, ROWS)
+    answers = _asked(texts, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket").mapInArrow(lambda batches: _answered(batches, buckets), ROWS)
     rows = answers.unionByName(_counted(texts, buckets)).repartition(max(least, n), "block").sortWithinPartitions("block", "bucket")
     pools = materialize(rows.mapInArrow(_joined, "total binary, doc_id long, x binary"), "pooled")
     del rows, answers
