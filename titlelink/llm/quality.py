@@ -24,7 +24,8 @@ with those of one kind only it is that kind. Other columns are ignored.
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ BUCKET_WORDS = 150_000
 BYTES_A_WORD = 32
 #: Entries of a vector are exact for words of so many neighbours at most, and rounded to such a share for others.
 FINE = 512
+#: Words are told apart by how many neighbours they have when their sums are coded.
+KINDS = np.array([4, 8, 12, 16, 24, 32, 48, 64, 128, 256, 1024])
 #: Words whose vectors are held at once in pooling and summing.
 CHUNK = 100_000
 #: What the network may see of a text's numbers.
@@ -166,15 +169,29 @@ def _ints_from(raw: bytes, at: int, count: int) -> tuple[np.ndarray, int]:
     return (z >> np.uint64(1)).view(np.int64) ^ -(z & np.uint64(1)).view(np.int64), at + 1 + width * count
 
 
-def _sums_by_count(n: np.ndarray, s: np.ndarray) -> bytes:
-    """Sums in the order of their counts, since those of like counts are of like size; the counts are known to who reads them."""
-    return _ints(s[np.argsort(n, kind="stable")].ravel())
+def _sealed(head: bytes, n: np.ndarray, s: np.ndarray) -> bytes:
+    """A head (which says n) and sums. Sums of words with like counts are of like size and are coded by Huffman trees of their own."""
+    parts, kind = [zstandard.ZstdCompressor(level=3).compress(head)], np.searchsorted(KINDS, n)
+    for k in np.unique(kind):
+        tree = zlib.compressobj(6, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+        parts.append(tree.compress(_ints(s[kind == k].ravel())) + tree.flush())
+    return np.array([len(parts), *map(len, parts)], np.uint32).tobytes() + b"".join(parts)
 
 
-def _sums_from(raw: bytes, at: int, n: np.ndarray) -> np.ndarray:
-    out = np.empty((len(n), DIM), np.int64)
-    out[np.argsort(n, kind="stable")] = _ints_from(raw, at, len(n) * DIM)[0].reshape(len(n), DIM)
-    return out
+def _opened(payload: bytes) -> tuple[bytes, Callable[[np.ndarray], np.ndarray]]:
+    """The head, and what gives the sums once n is known."""
+    many = int(np.frombuffer(payload, np.uint32, 1)[0])
+    ends = 4 + 4 * many + np.cumsum([0, *np.frombuffer(payload, np.uint32, many, 4).tolist()])
+    parts = [payload[a:z] for a, z in zip(ends, ends[1:], strict=False)]
+
+    def sums(n: np.ndarray) -> np.ndarray:
+        out, kind = np.empty((len(n), DIM), np.int64), np.searchsorted(KINDS, n)
+        for k, part in zip(np.unique(kind), parts[1:], strict=True):
+            rows = np.flatnonzero(kind == k)
+            out[rows] = _ints_from(zlib.decompress(part, -15), 0, len(rows) * DIM)[0].reshape(len(rows), DIM)
+        return out
+
+    return zstandard.ZstdDecompressor().decompress(parts[0]), sums
 
 
 def _by_bucket(h: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
@@ -200,7 +217,6 @@ def _asked(texts: DataFrame, buckets: int) -> DataFrame:
     """For each block and bucket the block's words: hashes, neighbours, sums of index vectors."""
 
     def asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3).compress
         for block, parts in _grouped(batches):
             h, slot, used = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0  # sorted hashes, and where each one's sums are
             n, s = np.zeros(1 << 12, np.int64), np.zeros((1 << 12, DIM), np.int32)
@@ -225,7 +241,7 @@ def _asked(texts: DataFrame, buckets: int) -> DataFrame:
                 if z > a:
                     own = order[a:z]
                     gaps = np.diff((h[own] // np.uint64(buckets)).astype(np.int64), prepend=0)  # ascending; the bucket says the rest of each hash
-                    out.append((block, b, pack(_check(h[own]) + _ints(gaps) + _ints(n[own]) + _sums_by_count(n[own], s[own]))))
+                    out.append((block, b, _sealed(_check(h[own]) + _ints(gaps) + _ints(n[own]), n[own], s[own])))
                 a = z
             yield _rows(out)
             del h, n, s
@@ -236,16 +252,15 @@ def _asked(texts: DataFrame, buckets: int) -> DataFrame:
 
 def _answered(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """For each block of a bucket its words' totals over all blocks, from FINE neighbours on as FINE-ths of them; and under block -1 the sum of all the bucket's words."""
-    pack, unpack = zstandard.ZstdCompressor(level=3).compress, zstandard.ZstdDecompressor().decompress
 
     def done(bucket: int, held: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         parts = []
         for _, payload in held:
-            raw = unpack(payload)
+            raw, sums = _opened(payload)
             count = int(np.frombuffer(raw, np.int64, 1)[0])
             gaps, at = _ints_from(raw, 16, count)
             n, at = _ints_from(raw, at, count)
-            parts.append((np.cumsum(gaps).astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket), n, _sums_from(raw, at, n)))
+            parts.append((np.cumsum(gaps).astype(np.uint64) * np.uint64(buckets) + np.uint64(bucket), n, sums(n)))
         h, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         n, s, a = np.zeros(len(h), np.int64), np.zeros((len(h), DIM), np.int64), 0
         for own, m, t in parts:
@@ -259,7 +274,7 @@ def _answered(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.Re
         a, out = 0, []
         for (block, _), (own, _, _) in zip(held, parts, strict=True):
             to = place[a : a + len(own)]
-            out.append((block, bucket, pack(_check(own) + _ints(n[to]) + _sums_by_count(n[to], s[to]))))
+            out.append((block, bucket, _sealed(_check(own) + _ints(n[to]), n[to], s[to])))
             a += len(own)
         yield _rows(out)
 
@@ -307,7 +322,7 @@ def _counted(texts: DataFrame, buckets: int) -> DataFrame:
 
 
 def pooled(distinct: np.ndarray, lens: np.ndarray, number: np.ndarray, many: np.ndarray, vectors: np.ndarray, known: np.ndarray) -> np.ndarray:
-    """2 * DIM + 1 numbers for each text: means of its words' vectors and of their squares, and the share of words that have one (known)."""
+    """2 * DIM + 1 numbers for each text: mean and variance of its words' vectors, and the share of words that have one (known)."""
     out, doc = np.zeros((len(lens), 2 * DIM + 1)), np.repeat(np.arange(len(lens)), distinct)
     for lo in range(0, len(number), CHUNK):
         d, v, c = doc[lo : lo + CHUNK], vectors[number[lo : lo + CHUNK]], many[lo : lo + CHUNK, None].astype(np.float32)
@@ -316,15 +331,21 @@ def pooled(distinct: np.ndarray, lens: np.ndarray, number: np.ndarray, many: np.
         out[d[first], :DIM] += np.add.reduceat(w, first, axis=0)
         out[d[first], DIM:-1] += np.add.reduceat(v * w, first, axis=0)
         out[d[first], -1] += np.add.reduceat(known[number[lo : lo + CHUNK]] * c[:, 0], first)
-    return out / np.maximum(lens, 1)[:, None]
+    out /= np.maximum(lens, 1)[:, None]
+    out[:, DIM:-1] -= out[:, :DIM] ** 2
+    return out
+
+
+def _rounded(x: np.ndarray) -> np.ndarray:
+    """float32 with 13 bits of mantissa; the zeros after them take no disk."""
+    return ((x.astype(np.float32).view(np.uint32) + np.uint32(512)) & np.uint32(0xFFFFFC00)).view(np.float32)
 
 
 def centred(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     """Mean and spread of the centred vectors, and the shares, from what a table of features() holds for each text."""
-    mean, square, known = x[:, :DIM], x[:, DIM : 2 * DIM], x[:, 2 * DIM : 2 * DIM + 1]
-    m = mean - known * centre
-    spread = np.sqrt(np.maximum(square - 2 * centre * mean + known * centre**2 - m**2, 0))
-    return np.concatenate([m, spread, x[:, 2 * DIM + 1 :]], axis=1)
+    mean, variance, known = x[:, :DIM], x[:, DIM : 2 * DIM], x[:, 2 * DIM : 2 * DIM + 1]
+    spread = np.sqrt(np.maximum(variance + (1 - known) * centre * (known * centre - 2 * mean), 0))
+    return np.concatenate([mean - known * centre, spread, x[:, 2 * DIM + 1 :]], axis=1)
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,7 +364,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raise RuntimeError(f"block {now}: words without a vector; the texts weren't the same when read again")
         distinct, lens = (_ints_from(bag[k], 0, bag["docs"])[0] for k in ("distinct", "lens"))
         number, many = np.cumsum(_ints_from(bag["number"], 0, bag["n"])[0]), _ints_from(bag["many"], 0, bag["n"])[0]
-        x = np.concatenate([pooled(distinct, lens, number, many, vectors, known).astype(np.float32), bag["shares"]], axis=1)
+        x = _rounded(np.concatenate([pooled(distinct, lens, number, many, vectors, known), bag["shares"]], axis=1))
         yield out([None] * bag["docs"], bag["doc_ids"], [r.tobytes() for r in x])
 
     for b in batches:
@@ -355,17 +376,17 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from done()
                 trim()
                 now, bag, filled = block, None, 0
-            raw = unpack(payload.as_buffer())
             if bucket == -1:
-                bag = pickle.loads(raw)
+                bag = pickle.loads(unpack(payload.as_buffer()))
                 size = sum(int(np.frombuffer(c, np.int64, 1)[0]) for c in bag["checks"].values())
                 vectors, known = np.zeros((size, DIM), np.float32), np.zeros(size, np.float32)
                 continue
+            raw, sums = _opened(payload.as_py())
             if bag is None or bag["checks"].pop(bucket, None) != raw[:16]:
                 raise RuntimeError(f"block {block}: other words than before; the texts weren't the same when read again")
             count = int(np.frombuffer(raw, np.int64, 1)[0])
-            near, at = _ints_from(raw, 16, count)
-            vectors[filled : filled + count] = _sums_from(raw, at, near) / np.clip(near, 1, FINE)[:, None]
+            near, _ = _ints_from(raw, 16, count)
+            vectors[filled : filled + count] = sums(near) / np.clip(near, 1, FINE)[:, None]
             known[filled : filled + count] = near > 0
             filled += count
     yield from done()
