@@ -91,6 +91,47 @@ SELECT entity_id, array_to_string(list_transform(list_sort(list_transform(list_d
 """
 
 
+
+def _ratio_of(rows: str) -> str:
+    """The rows with ratio, of their lists a and b: the longest common subsequence is folded over bits, a character of the second text at a time."""
+    diff = "list_sort(list_filter(list_distinct({0}), lambda t: NOT list_contains({1}, t)))"
+    texts = f"SELECT *, array_to_string(list_sort(list_intersect(a, b)), ' ') AS j, array_to_string({diff.format('a', 'b')}, ' ') AS x, array_to_string({diff.format('b', 'a')}, ' ') AS y FROM ({rows}) r0"
+    masks = "list_transform(string_split(y, ''), lambda c: coalesce(list_sum(list_transform(range(1, length(x) + 1), lambda k: CASE WHEN x[k] = c THEN CAST(1 AS BIGINT) << CAST(k - 1 AS BIGINT) ELSE 0 END)), 0))"
+    whole = "((CAST(1 AS BIGINT) << CAST(length(x) AS BIGINT)) - 1)"
+    fold = f"list_reduce(list_concat([{whole}], list_transform({masks}, lambda m: CAST(m AS BIGINT))), lambda row, m: ((row + (row & m)) | (row - (row & m))) & {whole})"
+    lcs = f"SELECT *, CASE WHEN x = '' OR y = '' THEN 0 ELSE length(x) - bit_count({fold}) END AS lcs, length(j) AS s, CAST(j <> '' AS INT) AS gap FROM ({texts}) r1"
+    plain = "100 - 100.0::DOUBLE * (length(x) + length(y) - 2 * lcs) / (2 * (s + gap) + length(x) + length(y))"
+    return f"""SELECT * EXCLUDE (j, x, y, lcs, s, gap), CASE WHEN a IS NULL OR b IS NULL THEN NULL WHEN len(a) = 0 OR len(b) = 0 THEN 0.0 WHEN s > 0 AND (x = '' OR y = '') THEN 100.0 WHEN s = 0 THEN {plain}
+        ELSE greatest({plain}, 100 - 100.0::DOUBLE * (gap + length(x)) / (2 * s + gap + length(x)), 100 - 100.0::DOUBLE * (gap + length(y)) / (2 * s + gap + length(y))) END AS ratio FROM ({lcs}) r2"""
+
+
+_CANDIDATES = f"""dp AS ({_DATE_PAIRS}), tp AS (SELECT listing_id, entity_id, row_number() OVER (PARTITION BY listing_id ORDER BY entity_id) AS k FROM ({_TOKEN_PAIRS}) t ANTI JOIN dp USING (listing_id, entity_id)),
+cand AS (SELECT listing_id, entity_id, true AS by_date FROM dp UNION ALL SELECT listing_id, entity_id, false FROM tp WHERE k <= 1000)"""
+_NEAR = "len(list_filter({0}, lambda r: abs(date_diff('day', d, r)) <= 1)) > 0"
+_SIGNALS = f"""SELECT c.*, ec, ei, kn, lc, li, c_worded AND NOT ts AND NOT mismatch AS wanted, ds, CASE WHEN NOT ds THEN {_NEAR.format('sec')} ELSE false END AS d2, d, prim, sec, site, mismatch, hits, ts FROM (
+ SELECT *, c_worded AND len(ec) >= 2 AND list_has_all(li, ei) AND (site OR hits > 0) AS ts, NOT site AND vocab_hit AS mismatch FROM (
+  SELECT cand.*, f.d, ec, ei, kn, lc, li, prim, sec, vocab_hit, len(ec) > 0 AND len(lc) > 0 AS c_worded, {_NEAR.format('prim')} AS ds, list_has_any(nk, g) AS site, len(list_filter(pk, lambda k: list_contains(g, k))) AS hits
+  FROM cand JOIN f ON f.entity_id = cand.entity_id JOIN h ON h.listing_id = cand.listing_id) a) c"""
+_JUDGED = f"""SELECT *, CASE WHEN veto IS NOT NULL THEN 0 ELSE CAST(least(100, round_even(CASE WHEN n < 2 THEN least(total, 65.0) ELSE total END, 0)) AS INT) END AS confidence,
+  CASE WHEN veto = 'date-mismatch' THEN '' ELSE concat_ws(',', CASE WHEN ds THEN 'date' END, CASE WHEN site AND NOT mismatch THEN 'site' END, CASE WHEN hits > 0 AND NOT mismatch THEN 'performer' END, CASE WHEN ts AND NOT mismatch THEN 'title' END) END AS strong
+ FROM (SELECT *, CAST(40 * CAST(ds AS INT) + 35 * CAST(site AS INT) + CASE WHEN hits > 1 THEN 50 WHEN hits = 1 THEN 35 ELSE 0 END AS DOUBLE) + CASE WHEN ts THEN 40.0 WHEN ratio >= 60 THEN ratio / 100.0 * 25 ELSE 0.0 END AS total,
+   CASE WHEN mismatch THEN 'site-mismatch' WHEN coalesce(off > 3 OR (off IS NOT NULL AND n < 2), false) OR (d2 AND n < 2) THEN 'date-mismatch'
+    WHEN n >= 2 AND NOT ts AND len(ec) >= 2 AND coalesce(ratio < 40, true) AND len(list_filter(list_distinct(lc), lambda t: NOT list_contains(ec, t) AND NOT list_contains(kn, t))) >= 3 THEN 'foreign-title' END AS veto
+  FROM (SELECT *, CAST(ds AS INT) + CAST(site AS INT) + CAST(ts AS INT) + CAST(hits > 0 AS INT) AS n,
+     CASE WHEN NOT ds AND NOT d2 THEN list_min(list_transform(list_concat(prim, sec), lambda r: abs(date_diff('day', d, r)))) END AS off
+   FROM ({_ratio_of('SELECT *, CASE WHEN wanted THEN ec END AS a, CASE WHEN wanted THEN lc END AS b FROM sig')}) q1) q2) q3"""
+_ALL_NAMES = "list_concat([publisher, alias], people)"
+#: The scored candidates, as the view judged.
+_SCORED = f""", {_CANDIDATES},
+f AS MATERIALIZED (SELECT *, list_filter([{_sq('publisher')}, {_sq('alias')}], lambda x: x <> '') AS nk, list_transform(list_filter(people, lambda p: length({_sq('p')}) >= 3 OR len({_tok('p')}) > 1), lambda p: {_sq('p')}) AS pk, {_content('title')} AS ec, {_ident('title')} AS ei,
+  list_distinct(list_concat(flatten(list_transform({_ALL_NAMES}, lambda x: {_tok('x')})), list_transform({_ALL_NAMES}, lambda x: {_sq('x')}))) AS kn FROM {_ENT} z),
+lg AS MATERIALIZED (SELECT listing_id, {_content('title')} AS lc, {_ident('title')} AS li, {_grams(_tok('title'))} AS g FROM l),
+vh AS (SELECT DISTINCT listing_id FROM (SELECT listing_id, unnest(g) AS t FROM lg) u JOIN (SELECT DISTINCT unnest(nk) AS t FROM f) v USING (t)),
+h AS MATERIALIZED (SELECT lg.*, prim, sec, vh.listing_id IS NOT NULL AS vocab_hit FROM lg JOIN {_READ} rd ON rd.listing_id = lg.listing_id LEFT JOIN vh ON vh.listing_id = lg.listing_id),
+sig AS (SELECT * FROM ({_SIGNALS}) s0), judged AS MATERIALIZED ({_JUDGED})
+"""
+
+
 #: Line items as the files of a manual-import list, with the JSON that is sent for each.
 _FILES = """SELECT *, '{"path":"' || path || '","movieId":' || coalesce(CAST(movie_id AS VARCHAR), 'null') || ',"quality":{"quality":{"id":3}},"languages":[{"id":1}],"releaseGroup":null,"downloadId":"' || download_id || '","indexerFlags":0' || CASE WHEN part % 2 = 0 THEN ',"id":' || CAST(part AS VARCHAR) ELSE '' END || '}' AS entry
  FROM (SELECT CAST(l_orderkey AS VARCHAR) AS download_id, CAST(l_linenumber AS BIGINT) AS line, l_partkey AS part, nullif(l_suppkey % 7, 0) AS movie_id, '/d/' || CAST(l_orderkey AS VARCHAR) || '/' || CAST(l_linenumber AS VARCHAR) || '.mkv' AS path FROM lineitem) z"""
@@ -119,6 +160,15 @@ def oracle_sql() -> dict[str, str]:
         "join_date_band": with_duck(f"SELECT listing_id, {_SUMS} FROM ({_DATE_PAIRS}) p GROUP BY listing_id"),
         "join_token_overlap": with_duck(f"SELECT listing_id, {_SUMS} FROM ({_TOKEN_PAIRS}) p GROUP BY listing_id"),
         "join_blocked_capped": with_duck(f", dp AS ({_DATE_PAIRS}), tp AS (SELECT listing_id, entity_id, row_number() OVER (PARTITION BY listing_id ORDER BY entity_id) AS k FROM ({_TOKEN_PAIRS}) t ANTI JOIN dp USING (listing_id, entity_id)) SELECT listing_id, count(*) AS n, CAST(count(*) FILTER (by_date) AS BIGINT) AS n_by_date, CAST(sum(entity_id) AS BIGINT) AS id_sum FROM (SELECT listing_id, entity_id, true AS by_date FROM dp UNION ALL SELECT listing_id, entity_id, false FROM tp WHERE k <= 1000) u GROUP BY listing_id"),
+        "dt_parse_query": with_duck("""SELECT entity_id, publisher || ' ' || strftime(d, '%d.%m.%Y') AS term, publisher AS publisher_token, strftime(d, '%Y-%m-%d') || CASE WHEN day(d) <= 12 AND day(d) <> month(d) THEN ',' || strftime(make_date(CAST(year(d) AS BIGINT), CAST(day(d) AS BIGINT), CAST(month(d) AS BIGINT)), '%Y-%m-%d') ELSE '' END AS dates FROM e
+            UNION ALL SELECT entity_id, publisher || ' 31.02.2001', NULL, NULL FROM e UNION ALL SELECT entity_id, title, NULL, NULL FROM e"""),
+        "fn_token_set_ratio": with_duck(f"SELECT entity_id, round(ratio, 4) AS ratio FROM ({_ratio_of(f'SELECT entity_id, {_content("title")} AS a, {_content("original")} AS b FROM ({title_of}) t0')}) t1"),
+        "score_pairs": with_duck(_SCORED + "SELECT listing_id, entity_id, confidence, strong, veto, round(ratio, 4) AS ratio FROM judged"),
+        "feed_match": with_duck(_SCORED + f"""SELECT l.listing_id, b.entity_id, b.confidence, CASE WHEN b.entity_id IS NULL THEN l.title ELSE array_to_string(list_filter(list_concat([{_dots('e.publisher')}, strftime(e.d, '%Y-%m-%d'), {_dots('e.title')}, 'XXX'], {_quality('l.title')}), lambda x: x <> ''), '.') END AS out_title
+            FROM l LEFT JOIN (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY confidence DESC, by_date DESC, entity_id) AS k FROM judged WHERE confidence >= 75) b ON b.listing_id = l.listing_id AND k = 1 LEFT JOIN e ON e.entity_id = b.entity_id"""),
+        "import_pack_verdicts": with_duck(_SCORED + """SELECT l.listing_id AS file_id, l.listing_id // 5 AS download_id, CASE WHEN coalesce(confidence, 0) < 90 OR strong = '' THEN 'unmatched' WHEN confidence - following < 10 THEN 'ambiguous' ELSE 'matched' END AS verdict,
+            CASE WHEN confidence >= 90 AND strong <> '' AND confidence - following >= 10 THEN entity_id END AS target_id
+            FROM l LEFT JOIN (SELECT *, row_number() OVER w AS k, coalesce(lead(confidence) OVER w, 0) AS following FROM judged WINDOW w AS (PARTITION BY listing_id ORDER BY confidence DESC, entity_id)) t ON t.listing_id = l.listing_id AND k = 1"""),
         "plan_variants": with_duck(_VARIANTS),
         "queue_holds": "SELECT CAST(o_orderkey AS VARCHAR) AS download_id, o_custkey AS movie_id, CASE o_orderstatus WHEN 'F' THEN 'importBlocked' ELSE 'importPending' END AS state FROM orders WHERE o_orderstatus IN ('F', 'P') AND o_orderkey % 2 = 0 AND o_custkey <> 0",
         "import_single": """SELECT download_id, CASE WHEN reason IS NULL THEN 'plan' ELSE 'skip' END AS action, reason, CASE WHEN reason IS NULL THEN path END AS path FROM (
