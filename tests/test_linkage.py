@@ -141,6 +141,29 @@ def test_feed_attributes(spark):
     assert (r.title, r.link, r["size"], r.categories, r.seeders, r.leechers, r.attrs["n"]) == ("A & B", "", 12, [6000], 3, None, "2")
 
 
+def test_catalog_days(spark):
+    texts = {"2020-02-03T10:00:00Z": "2020-02-03", "2020-02-03": "2020-02-03", "20200203": "2020-02-03", "2020": None, "2020-2": None, "2020-2-3": None, "2020-02-30": None, "20200230": None, "soon": None, "": None, None: None, "2020020312": None}
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", feed.catalog_day(F.col("t")).cast("string").alias("d")).collect()
+    assert {r.t: r.d for r in rows} == texts
+
+
+def test_a_failing_refresh_keeps_the_catalog(spark):
+    from titlelink.streaming.feed_stream import Refreshed
+
+    e, good = entry_carriers(spark)[0], [True]
+
+    def load():
+        # the plan is fine, reading it is not
+        return e if good[0] else e.select(F.raise_error(F.lit("down")).cast("long").alias("entity_id"), *e.columns[1:])
+
+    catalog = Refreshed(load, seconds=0.0)
+    first = sorted(r.entity_id for r in catalog.get().collect())
+    good[0] = False
+    assert sorted(r.entity_id for r in catalog.get().collect()) == first
+    with pytest.raises(Exception, match="down"):
+        Refreshed(load).get()
+
+
 def test_webhooks(spark):
     bodies = ['{"eventType":"Grab","release":{"releaseTitle":"t","downloadId":"d","size":1.5e3}}', "{bad", '{"eventType":"Test"}']
     rows = feed.map_webhooks(spark.createDataFrame([(b,) for b in bodies], "body string")).collect()

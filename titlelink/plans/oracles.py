@@ -153,7 +153,7 @@ def oracle_sql() -> dict[str, str]:
         "fn_categories": "SELECT o_orderkey, c, CASE WHEN len(f) = 0 THEN '6000' ELSE array_to_string(f, ',') END AS categories FROM (SELECT o_orderkey, c, list_transform(list_filter(string_split(c, ','), lambda x: regexp_full_match(trim(x), '[0-9]+')), lambda x: CAST(CAST(trim(x) AS INT) AS VARCHAR)) AS f FROM (SELECT o_orderkey, unnest([o_orderpriority || ',' || CAST(o_custkey AS VARCHAR) || ',x, 6010', 'a,b']) AS c FROM orders) a) b",
         "dt_extract": with_duck(f"SELECT listing_id, {_DAYS.format('prim')} AS primary_dates, {_DAYS.format('sec')} AS secondary_dates FROM {_READ} z"),
         "dt_min_offset": with_duck(f"SELECT entity_id, CAST(min(abs(date_diff('day', d, r))) AS BIGINT) AS days_off, coalesce(bool_or(abs(date_diff('day', d, r)) <= 1), false) AS near FROM e LEFT JOIN (SELECT listing_id, unnest(list_concat(prim, sec)) AS r FROM {_READ} z) a ON listing_id = entity_id GROUP BY entity_id"),
-        "src_catalog_map": with_duck(f"SELECT entity_id, p AS publisher, strftime(d, '%Y-%m-%d') AS day, title, CASE WHEN {_sq(_alias('p'))} <> {_sq('p')} THEN {_alias('p')} ELSE '' END AS aliases, array_to_string(people, ',') AS people FROM (SELECT *, CASE WHEN entity_id % 3 <> 0 THEN publisher WHEN entity_id % 2 = 0 THEN publisher || ' XXX' END AS p FROM {_ENT} z) y WHERE p IS NOT NULL AND entity_id % 5 <> 0"),
+        "src_catalog_map": with_duck(f"SELECT entity_id, p AS publisher, strftime(d, '%Y-%m-%d') AS day, title, CASE WHEN {_sq(_alias('p'))} <> {_sq('p')} THEN {_alias('p')} ELSE '' END AS aliases, array_to_string(people, ',') AS people FROM (SELECT *, CASE WHEN entity_id % 3 <> 0 THEN publisher WHEN entity_id % 2 = 0 THEN publisher || ' XXX' END AS p FROM {_ENT} z) y WHERE p IS NOT NULL AND entity_id % 5 <> 0 AND (entity_id % 7 <> 0 OR (day(d) > 9 AND month(d) > 9)) AND (entity_id % 7 = 0 OR entity_id % 11 <> 0)"),
         "src_feed_roundtrip": with_duck("SELECT 'g' || CAST(listing_id AS VARCHAR) AS guid, title, 'http://x/?a=1&b=2' AS link, listing_id * 1000 AS size, '6000,6010' AS categories, CAST(4 AS BIGINT) AS seeders, '3' AS grabs FROM l"),
         "src_remote_search": with_duck(f"SELECT query_id, listing_id FROM (SELECT entity_id AS query_id, listing_id, row_number() OVER (PARTITION BY entity_id ORDER BY listing_id) AS k FROM e JOIN (SELECT listing_id, unnest(list_distinct({_tok('title')})) AS t FROM l) w ON t = lower(person1)) r WHERE k <= 100"),
         "join_resolve": with_duck(f"SELECT DISTINCT query_id, e.entity_id FROM (SELECT query_id, publisher, unnest(CASE WHEN day(d) <= 12 AND day(d) <> month(d) THEN [d, make_date(CAST(year(d) AS BIGINT), CAST(day(d) AS BIGINT), CAST(month(d) AS BIGINT))] ELSE [d] END) AS r FROM {_TERM} z) q JOIN e ON {_sq('e.publisher')} = {_sq('q.publisher')} AND abs(date_diff('day', q.r, e.d)) <= 1"),
@@ -223,7 +223,7 @@ def oracle_sql() -> dict[str, str]:
             SELECT CAST(f.did AS VARCHAR) AS download_id, f.sweep, CASE WHEN outcome = 'fire' THEN CASE WHEN p % 5 <> 0 THEN 'acted' ELSE 'failed' END ELSE outcome END AS outcome, tries AS attempts
             FROM f JOIN (SELECT l_orderkey AS did, CAST(l_linenumber AS BIGINT) AS sweep, max(l_partkey) AS p FROM lineitem GROUP BY l_orderkey, l_linenumber) x ON x.did = f.did AND x.sweep = f.sweep WHERE outcome IS NOT NULL""",
         "hold_wake": "SELECT o_orderstatus, coalesce(greatest(0.5, least(900.0, CAST(min(CASE WHEN o_orderkey % 4 <> 0 AND o_orderkey % 200 > 180 THEN o_orderkey % 200 - 180 END) AS DOUBLE))), 900.0) AS wake_after FROM orders GROUP BY o_orderstatus",
-        "catalog_counts": "SELECT count(*) AS records, CAST(count(*) FILTER (o_orderkey % 6 <> 0 AND o_custkey % 4 <> 0) AS BIGINT) AS mapped, CAST(count(*) FILTER (NOT (o_orderkey % 6 <> 0 AND o_custkey % 4 <> 0)) AS BIGINT) AS skipped FROM orders",
+        "catalog_counts": "SELECT count(*) AS records, CAST(count(*) FILTER (o_orderkey % 6 <> 0 AND o_custkey % 4 > 1) AS BIGINT) AS mapped, CAST(count(*) FILTER (NOT (o_orderkey % 6 <> 0 AND o_custkey % 4 > 1)) AS BIGINT) AS skipped FROM orders",
         "webhook_map": """SELECT kind, kind = 'Grab' AS tells, kind NOT IN ('', 'Test') AS wakes, CASE WHEN kind = '' THEN '' WHEN event_id % 2 = 0 THEN 'r' ELSE 'd' END AS "from", count(*) AS n, CAST(sum(CASE WHEN kind <> '' THEN event_id * 1000 END) AS BIGINT) AS sizes, max(CASE WHEN kind <> '' THEN 't' || CAST(event_id AS VARCHAR) ELSE '' END) AS last_title
             FROM (SELECT *, CASE WHEN event_id % 7 = 0 THEN '' WHEN event_id % 5 = 0 THEN 'Test' WHEN event_id % 3 = 0 THEN 'Download' ELSE 'Grab' END AS kind FROM events) a WHERE kind <> 'Test' GROUP BY ALL""",
         "search_gated": "SELECT user_id AS search_id, event_id AS variant FROM (SELECT *, min(CASE WHEN event_id % 23 = 0 OR event_id / 100.0 > 45 THEN event_id END) OVER (PARTITION BY user_id) AS stop FROM events) a WHERE stop IS NULL OR event_id < stop",

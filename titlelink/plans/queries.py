@@ -107,7 +107,7 @@ def dt_min_offset(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def src_catalog_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = entities(spark, sf_dir)
-    r = e.select(F.col("entity_id").alias("id"), "title", F.when(F.col("entity_id") % 5 == 0, F.lit("soon")).otherwise(F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit("T00:00:00Z"))).alias("release_date"), F.when(F.col("entity_id") % 3 == 0, "").otherwise(F.col("publisher")).alias("studio_title"), F.when(F.col("entity_id") % 2 == 0, F.concat("publisher", F.lit(" XXX"))).alias("studio"), F.col("people").alias("performers"))
+    r = e.select(F.col("entity_id").alias("id"), "title", F.when(F.col("entity_id") % 5 == 0, F.lit("soon")).when(F.col("entity_id") % 7 == 0, F.date_format("date", "yyyy-M-d")).when(F.col("entity_id") % 11 == 0, F.date_format("date", "yyyy-MM")).when(F.col("entity_id") % 13 == 0, F.date_format("date", "yyyyMMdd")).otherwise(F.concat(F.date_format("date", "yyyy-MM-dd"), F.lit("T00:00:00Z"))).alias("release_date"), F.when(F.col("entity_id") % 3 == 0, "").otherwise(F.col("publisher")).alias("studio_title"), F.when(F.col("entity_id") % 2 == 0, F.concat("publisher", F.lit(" XXX"))).alias("studio"), F.col("people").alias("performers"))
     return feed.map_catalog(r).select("entity_id", "publisher", F.date_format("date", "yyyy-MM-dd").alias("day"), "title", _joined(F.col("aliases"), ",").alias("aliases"), _joined(F.col("people"), ",").alias("people"))
 
 
@@ -355,7 +355,7 @@ def hold_wake(spark: SparkSession, sf_dir: str) -> DataFrame:
 def catalog_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as pages of a catalog."""
     k, c = F.col("o_orderkey").cast("long"), F.col("o_custkey").cast("long")
-    text = F.format_string('{"id":%d,"title":"%s","releaseDate":"%s","studioTitle":"%s","studio":{"title":"S"}}', k, F.when(k % 6 == 0, "").otherwise("t"), F.when(c % 4 == 0, "2020-02-30T00:00:00Z").otherwise("2020-02-29T00:00:00Z"), F.when(k % 5 == 0, "").otherwise("P"))
+    text = F.format_string('{"id":%d,"title":"%s","releaseDate":"%s","studioTitle":"%s","studio":{"title":"S"}}', k, F.when(k % 6 == 0, "").otherwise("t"), F.when(c % 4 == 0, "2020-02-30T00:00:00Z").when(c % 4 == 1, "2020-2").when(c % 9 == 0, "20200229").otherwise("2020-02-29T00:00:00Z"), F.when(k % 5 == 0, "").otherwise("P"))
     return imports.catalog_counts(imports.map_catalog_records(_read(spark, sf_dir, "orders").select(text.alias("record"))))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .feed import catalog_day
 
 QUEUE = "downloadId string, movieId long, trackedDownloadState string, title string, statusMessages array<string>"
 MESSAGE = "title string, messages array<string>"
@@ -87,5 +88,5 @@ def map_catalog_records(records: DataFrame, column: str = "record") -> DataFrame
 def catalog_counts(records: DataFrame) -> DataFrame:
     """records as feed.map_catalog takes them: how many there are, how many it drops."""
     site = F.coalesce(F.nullif("studio_title", F.lit("")), F.nullif("studio", F.lit("")))
-    usable = (F.coalesce("title", F.lit("")) != "") & F.substring("release_date", 1, 10).try_cast("date").isNotNull() & site.isNotNull()
+    usable = (F.coalesce("title", F.lit("")) != "") & catalog_day(F.col("release_date")).isNotNull() & site.isNotNull()
     return records.agg(F.count("*").alias("records"), F.count_if(usable).alias("mapped"), F.count_if(~usable).alias("skipped"))

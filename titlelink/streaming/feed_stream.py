@@ -10,23 +10,28 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import DEFAULTS, Settings
 from ..operators.linkage import match_feed
+from ..operators.store import discard, stored
 
 
 class Refreshed:
-    """A catalog that is read anew after `seconds`; if that fails, the previous one stays."""
+    """A catalog that is read anew after `seconds` into a written table, which is then swapped in whole; if reading fails,
+    the previous one stays. Tables before the previous one are deleted."""
 
     def __init__(self, load: Callable[[], DataFrame], seconds: float = 900.0) -> None:
-        self.load, self.seconds, self.at, self.now = load, seconds, float("-inf"), None
+        self.load, self.seconds, self.at, self.tables = load, seconds, float("-inf"), []
 
     def get(self) -> DataFrame:
         if time.monotonic() - self.at >= self.seconds:
             try:
-                self.now = self.load()
+                self.tables.append(stored(self.load(), "catalog"))
             except Exception:
-                if self.now is None:
+                if not self.tables:
                     raise
+            for old in self.tables[:-2]:
+                discard(old)
+            self.tables = self.tables[-2:]
             self.at = time.monotonic()
-        return self.now
+        return self.tables[-1]
 
 
 def match_stream(listings: DataFrame, catalog: Refreshed, sink: Callable[[DataFrame, int], None], checkpoint: str, settings: Settings = DEFAULTS) -> StreamingQuery:
