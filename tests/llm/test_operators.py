@@ -93,6 +93,41 @@ def test_op1(spark, docs, rows, empty):
     assert {r.doc_id: (r.item_ids, r.near_ids) for r in near.collect()} == {1: ([], ["7"]), 2: ([], [])}
 
 
+def test_op1_bounds_repeated_words(spark):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    at, flat = words(pa.array(["a " * 50_000 + "b"], pa.string()), WORD_BYTES)
+    coded = flat.dictionary_encode()
+    ids = coded.indices.to_numpy()
+    row = {"ptr": np.concatenate([[0], np.cumsum(np.bincount(ids))]).astype(np.int32).tobytes(), "postings": np.argsort(ids, kind="stable").astype(np.int32).tobytes(), "ends": [len(ids)], "terms": coded.dictionary.cast(pa.string())}
+    w = decontaminate.Windows([("1", "a " * 400), ("2", "a " * 10 + "b"), ("3", "c " * 10)], 10)
+    tracemalloc.start()
+    (start, stop, doc), pairs, near = decontaminate.search_block(row, w, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (start.tolist(), stop.tolist(), doc.tolist()) == ([0], [50_001], [0])
+    assert pairs.tolist() == near.tolist() == [[0, 0], [0, 1]]
+    assert peak < 500 << 20
+
+
+def test_op1_steps_find_the_same(spark, docs, rows):
+    wide = next(t for i, t in rows if i == 85).split()
+    bench = spark.createDataFrame([(1, " ".join(wide[100:130])), (2, "one two"), (3, " ".join(wide[5:300]))], "item_id long, text string")
+    index, part = decontaminate.build_index(docs).collect(), [(str(r.item_id), r.text) for r in bench.collect()]
+    import pyarrow as pa
+
+    w, step = decontaminate.Windows(part, 10), decontaminate.STEP
+    for r in index:
+        row = {"ptr": bytes(r.ptr), "postings": bytes(r.postings), "ends": r.ends, "terms": pa.array(r.terms.split("\n"))}
+        whole = decontaminate.search_block(row, w, 10)
+        decontaminate.STEP = 7
+        steps = decontaminate.search_block(row, w, 10)
+        decontaminate.STEP = step
+        assert [x.tolist() for x in (*whole[0], *whole[1:])] == [x.tolist() for x in (*steps[0], *steps[1:])]
+
+
 def test_leaks_of_items_without_id_are_dropped(spark):
     d = spark.createDataFrame([(1, "x one two three y"), (2, "four five"), (3, None)], "doc_id long, text string")
     for kind in ("long", "string"):
@@ -151,6 +186,20 @@ def test_op4(docs, rows, empty):
     assert sharding.shard(empty, 4).count() == 0
 
 
+def test_op4_writes_whole_rows(spark, docs, rows, tmp_path):
+    sharding.write_shards(docs, str(tmp_path / "out"), 4)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(back.columns) == sorted([*docs.columns, "shard_id"])
+    assert sorted(map(str, back.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    crcs = sorted(((r.doc_id, r.text_crc32) for r in sharding.shard(docs, 4).collect()), key=str)
+    assert crcs == sorted(((i, zlib.crc32((t or "").encode())) for i, t in rows), key=str)
+
+
+def test_op3_keeps_a_clashing_column(spark):
+    d = spark.createDataFrame([(1, "a", 5), (2, "a", 6)], "doc_id long, text string, __sha_of_text int")
+    assert [tuple(r) for r in exact_dedup.drop_copies(d).collect()] == [(1, "a", 5)]
+
+
 def test_op4_balances_and_keeps_equal_texts_together(spark):
     rng = random.Random(9)
     texts = [" ".join(rng.choice(WORDS) for _ in range(rng.randrange(1, 60))) for _ in range(2000)]

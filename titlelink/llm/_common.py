@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import atexit
 import contextlib
 import ctypes
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import store
+
 #: Bytes of text that a Python worker handles at once; a longer document is a block of its own.
 BLOCK_BYTES = 2 << 20
 
@@ -33,14 +32,9 @@ SAME_BYTES = np.arange(256, dtype=np.uint8)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where the session names none, as in tests."""
+    """The folder that driver and executors share; a local one only under a local master whose session names none, as in tests."""
     small_batches(spark)
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="llm-")
-        spark.conf.set("spark.checkpoint.dir", path)
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-    return path.rstrip("/")
+    return store.shared_dir(spark)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

@@ -9,8 +9,10 @@ intersects it with the next rarer lists in turn, by binary search, until every t
 the exact phrase matches. Proximity matches ask only that every term of the window stands within `slop`
 words of an occurrence of its rarest term in the same document, in any order.
 
-The benchmark is read in parts of at most PART_BYTES of text, each broadcast in turn over the index, so
-its size bounds nothing; spans of the parts are united for each document.
+The benchmark is read in parts of at most PART_BYTES of text, each sent over the index and its result written before the
+next is read, so its size bounds nothing; spans of the parts are united for each document. Equal windows are searched
+once for all their items, and occurrences of the rarest terms are gone through STEP at a time, so a document or an item that
+repeats one word takes no more memory than others.
 
 Words: A-Z lower-cased, runs of ASCII digits, a-z and of non-ASCII characters. Null or wordless texts
 have no words and no hits. A benchmark item of fewer than `size` words is one window, one without words
@@ -30,6 +32,8 @@ from pyspark.sql import functions as F
 from ._common import BLOCK_BYTES, WORD_BYTES, binaries, blocks, materialize, ragged, without, words
 
 PART_BYTES = 8 << 20
+#: Occurrences of rarest terms that are held at once.
+STEP = 500_000
 WINDOW = 10
 SLOP = 10
 
@@ -54,7 +58,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 class Windows:
-    """The windows of some items: their terms as numbers, grouped by length."""
+    """The distinct windows of some items: their terms as numbers, grouped by length, with the items that have each."""
 
     def __init__(self, items: list[tuple[str, str]], size: int) -> None:
         at, flat = words(pa.array([t for _, t in items], pa.string()), WORD_BYTES)
@@ -69,7 +73,11 @@ class Windows:
                 rows, of = found.setdefault(n, ([], []))
                 rows.append(np.lib.stride_tricks.sliding_window_view(own, n))
                 of.append(np.full(len(own) - n + 1, k))
-        self.by_length = {n: (np.concatenate(r), np.concatenate(o)) for n, (r, o) in found.items()}
+        self.by_length = {}
+        for n, (rows, of) in found.items():
+            distinct, which = np.unique(np.concatenate(rows), axis=0, return_inverse=True)
+            which, item = np.unique(np.stack([which.ravel(), np.concatenate(of)]), axis=1)
+            self.by_length[n] = distinct, np.searchsorted(which, np.arange(len(distinct) + 1)), item
 
 
 def _member(keys: np.ndarray, sought: np.ndarray) -> np.ndarray:
@@ -77,53 +85,81 @@ def _member(keys: np.ndarray, sought: np.ndarray) -> np.ndarray:
     return (i < len(keys)) & (keys[np.minimum(i, len(keys) - 1)] == sought) if len(keys) else np.zeros(len(sought), bool)
 
 
-def search_block(row: dict, windows: Windows, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of phrase matches: start, length, item; of proximity matches: the rarest term's position, item."""
+def _united(starts: np.ndarray, stops: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Spans that overlap or touch within a document as one, ascending."""
+    order = np.lexsort((stops, starts))
+    starts, stops, docs = starts[order], np.maximum.accumulate(stops[order]) if len(order) else stops, docs[order]
+    new = np.ones(len(starts), bool)
+    new[1:] = (starts[1:] > stops[:-1]) | (docs[1:] != docs[:-1])
+    at = np.flatnonzero(new)
+    return starts[at], stops[np.append(at[1:], len(starts))[: len(at)] - 1], docs[at]
+
+
+def search_block(row: dict, windows: Windows, slop: int) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray, np.ndarray]:
+    """The spans that phrase matches hit (start, stop, document); pairs (document, item) of phrase and of proximity matches."""
     ptr, postings = np.frombuffer(row["ptr"], np.int32).astype(np.int64), np.frombuffer(row["postings"], np.int32).astype(np.int64)
     ends = np.asarray(row["ends"], np.int64)
     total = int(ends[-1]) if len(ends) else 0
-    starts, lengths, items, near_at, near_item = ([np.zeros(0, np.int64)] for _ in range(5))
+    firsts = np.concatenate([[0], ends])
+    none = np.zeros(0, np.int64)
+    spans, pairs, near = (none, none, none), [np.zeros((2, 0), np.int64)], [np.zeros((2, 0), np.int64)]
     here = pc.index_in(windows.terms, value_set=row["terms"])
     here = pc.fill_null(here, -1).to_numpy(zero_copy_only=False).astype(np.int64)
     n_terms = len(ptr) - 1
     # one sorted list of (term, position) serves as every term's list
     keys = np.repeat(np.arange(n_terms), np.diff(ptr)) * total + postings
-    for n, (rows, of) in windows.by_length.items():
+
+    def of_items(doc: np.ndarray, win: np.ndarray, at: np.ndarray, item: np.ndarray) -> np.ndarray:
+        doc, win = np.unique(np.stack([doc, win]), axis=1)
+        many = at[win + 1] - at[win]
+        return np.unique(np.stack([np.repeat(doc, many), item[ragged(at[win], many)]]), axis=1)
+
+    for n, (rows, at, item) in windows.by_length.items():
         terms = here[rows]
-        whole = (terms >= 0).all(axis=1)
-        terms, item = terms[whole], of[whole]
+        there = np.flatnonzero((terms >= 0).all(axis=1))
+        terms = terms[there]
         if not len(terms):
             continue
         df = ptr[terms + 1] - ptr[terms]
         order = np.argsort(df, axis=1, kind="stable")
-        w = np.arange(len(terms))
-        rare = terms[w, order[:, 0]]
-        many = ptr[rare + 1] - ptr[rare]
-        of_window, seat = np.repeat(w, many), postings[ragged(ptr[rare], many)]
-        doc = np.searchsorted(ends, seat, side="right")
-        low, high = np.concatenate([[0], ends])[doc], ends[doc]
-        # phrases: lists adjusted by each term's offset, from the rarest on
-        start = seat - order[of_window, 0]
-        ok = (start >= low) & (start + n <= high)
-        s, win = start[ok], of_window[ok]
-        for j in range(1, n):
-            if not len(s):
-                break
-            off = order[win, j]
-            same = _member(keys, terms[win, off] * total + s + off)
-            s, win = s[same], win[same]
-        starts.append(s), lengths.append(np.full(len(s), n)), items.append(item[win])
-        # proximity: every term within slop words of the rarest one's seat
-        win, p, lo, hi = of_window, seat, np.maximum(low, seat - slop), np.minimum(high - 1, seat + slop)
-        for j in range(1, n):
-            if not len(p):
-                break
-            term = terms[win, order[win, j]]
-            i = np.searchsorted(keys, term * total + lo)
-            same = (i < len(keys)) & (keys[np.minimum(i, len(keys) - 1)] <= term * total + hi)
-            win, p, lo, hi = win[same], p[same], lo[same], hi[same]
-        near_at.append(p), near_item.append(item[win])
-    return tuple(np.concatenate(x) for x in (starts, lengths, items, near_at, near_item))
+        rare = terms[np.arange(len(terms)), order[:, 0]]
+        upto = np.cumsum(ptr[rare + 1] - ptr[rare])
+        for low_at in range(0, int(upto[-1]), STEP):
+            k = np.arange(low_at, min(low_at + STEP, int(upto[-1])))
+            of_window = np.searchsorted(upto, k, side="right")
+            seat = postings[ptr[rare[of_window] + 1] - (upto[of_window] - k)]
+            doc = np.searchsorted(ends, seat, side="right")
+            low, high = firsts[doc], ends[doc]
+            # phrases: lists adjusted by each term's offset, from the rarest on
+            start = seat - order[of_window, 0]
+            ok = (start >= low) & (start + n <= high)
+            s, win, d = start[ok], of_window[ok], doc[ok]
+            for j in range(1, n):
+                if not len(s):
+                    break
+                off = order[win, j]
+                same = _member(keys, terms[win, off] * total + s + off)
+                s, win, d = s[same], win[same], d[same]
+            if len(s):
+                spans = _united(np.concatenate([spans[0], s]), np.concatenate([spans[1], s + n]), np.concatenate([spans[2], d]))
+                pairs.append(of_items(d, there[win], at, item))
+            # proximity: every term within slop words of the rarest one's seat
+            win, d, lo, hi = of_window, doc, np.maximum(low, seat - slop), np.minimum(high - 1, seat + slop)
+            for j in range(1, n):
+                if not len(win):
+                    break
+                term = terms[win, order[win, j]]
+                i = np.searchsorted(keys, term * total + lo)
+                same = (i < len(keys)) & (keys[np.minimum(i, len(keys) - 1)] <= term * total + hi)
+                win, d, lo, hi = win[same], d[same], lo[same], hi[same]
+            if len(win):
+                near.append(of_items(d, there[win], at, item))
+    return spans, *(np.unique(np.concatenate(x, axis=1), axis=1) for x in (pairs, near))
+
+
+def _lists(of: np.ndarray, values: pa.Array, n: int) -> pa.ListArray:
+    """Values of documents (ascending) as a list for each of n documents."""
+    return pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32()), values)
 
 
 FOUND = "doc_id long, n_words long, starts array<long>, ends array<long>, item_ids array<string>, near_ids array<string>"
@@ -141,23 +177,14 @@ def search(index: DataFrame, items: list[tuple[str, str]], size: int = WINDOW, s
                 row["terms"] = pc.split_pattern(b.column("terms").slice(k, 1), "\n").flatten()
                 ends = np.asarray(row["ends"], np.int64)
                 first = np.concatenate([[0], ends])[:-1]
-                start, length, item, near, near_item = search_block(row, windows, slop)
-                doc, near_doc = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, near, side="right")
-                spans: list = [([], []) for _ in ends]
-                hit: list = [[] for _ in ends]
-                close: list = [[] for _ in ends]
-                order = np.argsort(start, kind="stable")
-                for d, s, e in zip(doc[order].tolist(), start[order].tolist(), (start + length)[order].tolist(), strict=True):
-                    a, z = spans[d]
-                    s, e = s - int(first[d]), e - int(first[d])
-                    if z and s <= z[-1]:
-                        z[-1] = max(z[-1], e)
-                    else:
-                        a.append(s), z.append(e)
-                for out, ds, xs in ((hit, doc, item), (close, near_doc, near_item)):
-                    for d, x in sorted(set(zip(ds.tolist(), xs.tolist(), strict=True))):
+                (start, stop, of), pairs, near = search_block(row, windows, slop)
+                named = []
+                for doc, item in (pairs, near):
+                    out: list = [[] for _ in ends]
+                    for d, x in zip(doc.tolist(), item.tolist(), strict=True):
                         out[d].append(names[x])
-                yield pa.RecordBatch.from_arrays([row["doc_ids"].cast(pa.int64()), pa.array(ends - first, pa.int64()), pa.array([a for a, _ in spans], pa.list_(pa.int64())), pa.array([z for _, z in spans], pa.list_(pa.int64())), pa.array([sorted(set(x)) for x in hit], pa.list_(pa.string())), pa.array([sorted(set(x)) for x in close], pa.list_(pa.string()))], ["doc_id", "n_words", "starts", "ends", "item_ids", "near_ids"])
+                    named.append(pa.array([sorted(set(x)) for x in out], pa.list_(pa.string())))
+                yield pa.RecordBatch.from_arrays([row["doc_ids"].cast(pa.int64()), pa.array(ends - first, pa.int64()), *(_lists(of, pa.array(x - first[of], pa.int64()), len(ends)) for x in (start, stop)), *named], ["doc_id", "n_words", "starts", "ends", "item_ids", "near_ids"])
 
     return index.mapInArrow(found, FOUND)
 
@@ -187,15 +214,16 @@ def _unite(starts: list, ends: list) -> list[tuple[int, int]]:
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int = SLOP) -> DataFrame:
     """A row of `search` for every document, over the whole benchmark."""
-    index = materialize(build_index(docs), "postings")
-    found = [search(index, part, size, slop) for part in parts_of(benchmark)]
-    if len(found) == 1:
-        return found[0]
+    index, parts = materialize(build_index(docs), "postings"), parts_of(benchmark)
+    part, ahead = next(parts), next(parts, None)
+    if ahead is None:
+        return search(index, part, size, slop)
     # several parts: the blocks come in the same order each time, so a row is known by its block and place
     rows = None
-    for f in found:
-        f = materialize(f.withColumn("row", F.monotonically_increasing_id()), "part")
+    while part is not None:
+        f = materialize(search(index, part, size, slop).withColumn("row", F.monotonically_increasing_id()), "part")
         rows = f if rows is None else rows.unionByName(f)
+        part, ahead = ahead, next(parts, None)
 
     def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

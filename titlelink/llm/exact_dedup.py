@@ -72,6 +72,8 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     sha = "__sha_of_text"
+    while sha in docs.columns:
+        sha += "_"
     gone = materialize(exact_groups(docs, id_col, text_col).where("not kept").select("doc_id", "text_sha256", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("again")).distinct(), "copies")
     on = [(id_col, "doc_id"), (sha, "text_sha256")]
     rows = docs.withColumn(sha, F.sha2(normalized(F.col(text_col)).cast("binary"), 256))

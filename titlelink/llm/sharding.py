@@ -86,8 +86,11 @@ def shard(docs: DataFrame, shards: int = 16, id_col: str = "doc_id", text_col: s
     return rows.withColumn("k", number).join(before, ["shard", "chunk"]).select("doc_id", "size", "text_crc32", "shard", (F.col("before") + F.col("k")).cast("long").alias("slot"), "piece")
 
 
-def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id") -> None:
-    """Whole rows as Parquet, a folder for each shard."""
-    at = shard(docs, shards, id_col).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), "shard").distinct()
-    crc = F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    docs.withColumn("__text_crc", crc).join(at, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__text_crc") == F.col("__crc"))).drop("__id", "__crc", "__text_crc").write.partitionBy("shard").parquet(path)
+def write_shards(docs: DataFrame, path: str, shards: int = 16, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Whole rows as Parquet, a folder shard_id=... for each shard; all columns stay as they are, whatever their names (but for one called shard_id, which is refused)."""
+    if "shard_id" in docs.columns:
+        raise ValueError("a column shard_id would clash with the folders' name")
+    at = shard(docs, shards, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_crc32").alias("__crc"), F.col("size").alias("__size"), F.col("shard").alias("shard_id")).distinct()
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    same = docs[id_col].eqNullSafe(at["__id"]) & (F.crc32(text.cast("binary")) == at["__crc"]) & (F.octet_length(text) + 1 == at["__size"])
+    docs.join(at, same).drop("__id", "__crc", "__size").write.partitionBy("shard_id").parquet(path)
