@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WORD_BYTES, binary, blocks, least_distinct, mix, ragged, strings, words
+from ._common import WORD_BYTES, binary, blocks, least_distinct, mix, ragged, strings, trim, words
 from ._tokens import hashes
 
 POSITIVES = 1500
@@ -102,16 +102,24 @@ def nnpu(rows: np.ndarray, cells: np.ndarray, shares: np.ndarray, positive: np.n
     n, p, u = len(positive), positive, ~positive
     ratio = evidence(rows, cells, positive, prior).astype(np.float32)
     kept = ratio[cells] > 0
-    rows, cells, x = rows[kept], cells[kept], (shares * ratio[cells])[kept]
-    size = np.sqrt(max(float((x.astype(float) ** 2).sum()) / n, 1e-12))  # the mean document has length one
+    rows, cells, x = rows[kept], cells[kept], shares[kept]
+    del kept, shares
+    x *= ratio[cells]
+    size = np.sqrt(max(float(np.dot(x, x)) / n, 1e-12))  # the mean document has length one
     x /= np.float32(size)
-    used, cells = np.unique(cells, return_inverse=True)
-    by_cell = np.argsort(cells, kind="stable")
+    per_cell = np.bincount(cells, minlength=1 << BITS)
+    used = np.flatnonzero(per_cell)
+    place = np.zeros(1 << BITS, np.int32)
+    place[used] = np.arange(len(used))
+    cells = place[cells]
+    by_cell = np.argsort(cells, kind="stable").astype(np.int32)
     rows_of, x_of = rows[by_cell], x[by_cell]
-    first_of_cell = np.searchsorted(cells[by_cell], np.arange(len(used)))
+    del by_cell
+    first_of_cell = np.cumsum(per_cell[used]) - per_cell[used]
     full = np.flatnonzero(np.bincount(rows, minlength=n))
     first_of_row = np.searchsorted(rows, full)
-    cells = cells.astype(np.int32)
+    del rows
+    trim()
 
     def margin(w: np.ndarray, b: float) -> np.ndarray:
         out = np.full(n, b)
@@ -156,12 +164,11 @@ def fit(docs: DataFrame, labels: DataFrame, mod: int = 3, hold: int = 1, label:
     positive = np.array([r["toxic"] == 1 for r in rows], bool)
     if not positive.any() or positive.all():
         return None
-    cells = [np.frombuffer(r["cells"], np.int32) for r in rows]
-    shares = [np.frombuffer(r["shares"], np.float32) for r in rows]
+    at = np.repeat(np.arange(len(positive), dtype=np.int32), [len(r["cells"]) // 4 for r in rows])
+    found = [np.frombuffer(b"".join([r[c] for r in rows]), kind) for c, kind in (("cells", np.int32), ("shares", np.float32))]
     del rows
-    at = np.repeat(np.arange(len(positive), dtype=np.int32), [len(c) for c in cells])
-    cells, shares = np.concatenate(cells), np.concatenate(shares)
-    return nnpu(at, cells, shares, positive, min(float(prior), 0.95))
+    trim()
+    return nnpu(at, found.pop(0), found.pop(), positive, min(float(prior), 0.95))
 
 
 def score(docs: DataFrame, labels: DataFrame, mod: int = 3, hold: int = 1) -> DataFrame:
