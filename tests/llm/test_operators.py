@@ -215,7 +215,7 @@ def test_op4_balances_and_keeps_equal_texts_together(spark):
     assert (sums.max(axis=0) <= 1.02 * sums.mean(axis=0)).all() and (sums.min(axis=0) >= 0.98 * sums.mean(axis=0)).all()
 
 
-@pytest.mark.parametrize("name", ["op1_decontamination", "op3_exact_dedup", "op10_jaccard_join"])
+@pytest.mark.parametrize("name", ["op1_decontamination", "op3_exact_dedup", "op6_suffix_dedup", "op10_jaccard_join"])
 def test_registered_sql(spark, name):
     import duckdb
 

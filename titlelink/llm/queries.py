@@ -87,6 +87,18 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
 FROM d
 """
 
+#: Windows of 100 bytes are told apart by their MD5; a text's hexadecimal form is cut in parts, since a place far into a long string is slow to reach.
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+parts AS (SELECT doc_id, n, k * 2000 AS a, substr(x, k * 4000 + 1, 4198) AS y FROM (SELECT *, unnest(range(0, CAST(n // 2000 AS BIGINT) + 1)) AS k FROM d WHERE n >= 100)),
+win AS (SELECT doc_id, a + i AS p, md5_number(substr(y, 2 * i + 1, 200)) AS w FROM (SELECT *, unnest(range(0, least(2000, n - 99 - a))) AS i FROM parts WHERE n - 99 - a > 0)),
+cov AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS r FROM win) WHERE r > 1),
+runs AS (SELECT doc_id, min(p) AS s, max(p) + 100 AS e FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (SELECT *, CAST(coalesce(p > lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, true) AS INT) AS new FROM cov)) GROUP BY doc_id, run),
+cuts AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS b FROM runs),
+kept AS (SELECT doc_id, string_agg(substr(x, 2 * b + 1, 2 * (s - b)), '' ORDER BY s) || substr(any_value(x), 2 * max(e) + 1) AS y, CAST(sum(e - s) AS BIGINT) AS gone, count(*) AS spans FROM cuts JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(d.n AS BIGINT) AS n_bytes, coalesce(gone, 0) AS n_removed, coalesce(spans, 0) AS n_spans, sha256(unhex(coalesce(y, x))) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 OP10_SQL = rf"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 4 THEN list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
@@ -100,4 +112,4 @@ SELECT doc_id, CAST(coalesce(max(n.n), 0) AS BIGINT) AS n_shingles, min(r) AS co
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op10_jaccard_join": OP10_SQL}
+    return {"op1_decontamination": OP1_SQL, "op3_exact_dedup": OP3_SQL, "op6_suffix_dedup": OP6_SQL, "op10_jaccard_join": OP10_SQL}
