@@ -381,6 +381,29 @@ def test_op10(docs, rows, empty):
     assert jaccard_join.similar_groups(empty).count() == 0
 
 
+def test_op10_knows_texts_of_one_id_apart(spark):
+    rng = random.Random(8)
+    text = lambda: [f"{rng.choice(WORDS)}{rng.randrange(60)}" for _ in range(70)]
+    first, second = text(), text()
+    near = lambda w, k: " ".join([*w[:k], "edit", *w[k + 1 :]])
+    rows = [(7, " ".join(first)), (7, " ".join(second)), (9, near(first, 0)), (10, near(second, 69)), (3, near(second, 0)), (3, near(second, 0)), (7, ""), (7, None), (20, "of its own")]
+    rows += [(7, " ".join(text())) for _ in range(300)] + [(5, near(first, 69)), (5, near(first, 0))]
+    docs = spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "doc_id long, text string, __hash_of_text int").repartition(3)
+    got = {}
+    for r in jaccard_join.similar_groups(docs).collect():
+        got.setdefault(r["doc_id"], []).append(r["component_id"])
+    assert got[9] == [5] and got[10] == [3] and got[3] == [3, 3] and got[5] == [5, 5] and got[20] == [20]
+    assert sorted(got[7]) == [3, 5, *[7] * 302]
+    kept = jaccard_join.drop_near_copies(docs)
+    assert kept.columns == docs.columns
+    kept = sorted(kept.collect(), key=str)
+    own = [r["__hash_of_text"] for r in kept]
+    assert len(set(own)) == len(own) and all(rows[k][0] == r["doc_id"] and rows[k][1] == r["text"] for k, r in zip(own, kept, strict=True))
+    assert {k for k in own if 6 <= k < 309} == set(range(6, 309))  # empty texts and those alike to none
+    assert not {0, 1, 2, 3} & set(own) and len({4, 5} & set(own)) == 1 and len({309, 310} & set(own)) == 1 and len(own) == 305
+    assert jaccard_join.drop_near_copies(docs.where("false")).count() == 0
+
+
 def test_t_occurrence_is_exact():
     rng = np.random.default_rng(4)
     for _ in range(60):

@@ -14,6 +14,8 @@ search, and partners that reach the overlap that the threshold asks for are link
 Words lower-case A-Z and stand between ASCII white space. Null, empty and wordless texts have no
 shingles and no links. A text of fewer words than a shingle has its whole sequence as the only one.
 Repeated rows and rows without doc_id: each keeps its row; a null id is reached by no link and stays null.
+Rows that share a doc_id but not their text are documents of their own: a record has a key of its own and is found
+again by doc_id and the 64-bit hash of its text, so each text keeps its links, and its row its component.
 """
 
 from __future__ import annotations
@@ -78,7 +80,12 @@ def needed(nx: np.ndarray, ny: np.ndarray, percent: int = PERCENT) -> np.ndarray
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text"))
+
+
+def _digest(own: np.ndarray) -> bytes | None:
+    return xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None
 
 
 def _longest(texts: DataFrame, records: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> np.ndarray:
@@ -136,9 +143,8 @@ def _ordered(own: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 def _bounded(pairs: DataFrame, records: DataFrame, percent: int) -> DataFrame:
     """Pairs a, b that their prefixes still allow, with both sizes."""
-    r = records.select("rep", "n", "prefix")
-    x = r.select(F.col("rep").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
-    y = r.select(F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
+    x = records.select(F.col("key").alias("a"), F.col("n").alias("na"), F.col("prefix").alias("pa"))
+    y = records.select(F.col("key").alias("b"), F.col("n").alias("nb"), F.col("prefix").alias("pb"))
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,17 +189,22 @@ def t_occurrence(query: np.ndarray, sets: list[np.ndarray], percent: int = PERCE
     return out
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
-    """The links among pairs a, b, by whole shingle sets."""
-    ids = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "members")
-    few = ids.count() <= BROADCAST_ROWS
-    own = texts.join(F.broadcast(ids) if few else ids, "doc_id")
+def _verified(pairs: DataFrame, records: DataFrame, texts: DataFrame, percent: int, size: int) -> DataFrame:
+    """The links among pairs a, b of keys, by whole shingle sets."""
+    keys = pairs.select(F.col("a").alias("key")).unionByName(pairs.select(F.col("b").alias("key"))).distinct()
+    members = materialize(records.select("key", F.col("rep").alias("doc_id"), "th", "digest").join(keys, "key"), "members")
+    n_members = members.count()
+    own = texts.join(F.broadcast(members) if n_members <= BROADCAST_ROWS else members, ["doc_id", "th"]).select("key", "digest", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in blocks(batches):
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([s.tobytes() for s in shingles(b.column("text"), size)], pa.binary())], ["id", "s"])
+            own = shingles(b.column("text"), size)
+            same = [_digest(s) == d for s, d in zip(own, b.column("digest").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array([s.tobytes() for s in own], pa.binary())], ["id", "s"]).filter(pa.array(same, pa.bool_()))
 
     own = materialize(own.mapInArrow(sets, "id long, s binary"), "sets")
+    if own.count() > n_members:  # repeated rows
+        own = materialize(own.dropDuplicates(["id"]), "sets")
     chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / PARTNERS).cast("int").alias("chunks"))
     partners = pairs.select("a", "b").join(chunks, "a").withColumn("chunk", F.pmod(F.xxhash64("b"), F.col("chunks")).cast("int"))
     partners = partners.join(own, partners["b"] == own["id"]).select("a", "chunk", "b", "s")
@@ -217,7 +228,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
                 s = np.frombuffer(s, np.uint64)
                 if b is None:
                     query = s
-                elif b not in ids[-1:]:
+                else:
                     ids.append(b)
                     found.append(s)
         yield from done()
@@ -227,8 +238,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, size: int) -> Da
     return materialize(both.mapInArrow(linked, "a long, b long"), "similar")
 
 
-def similar_groups(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id."""
+def _grouped(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> DataFrame:
+    """One row per document: doc_id, th (hash of its text), n_shingles, and the doc_id and th of its component's least member,
+    null for a document without shingles or id."""
     spark, texts = docs.sparkSession, _texts(docs, id_col, text_col)
     last = long_lists(texts, percent, size)
     release(spark)
@@ -238,11 +250,12 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, i
             own = shingles(b.column("text"), size)
             prefixes = [_ordered(s, last)[: prefix_length(len(s), percent)] for s in own]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in own], pa.int32()), pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in own], pa.binary()), pa.array([p.tobytes() for p in prefixes], pa.binary())], ["doc_id", "n", "digest", "prefix"]
+                [b.column("doc_id"), b.column("th"), pa.array([len(s) for s in own], pa.int32()), pa.array([_digest(s) for s in own], pa.binary()), pa.array([p.tobytes() for p in prefixes], pa.binary())], ["doc_id", "th", "n", "digest", "prefix"]
             )
 
-    all_docs = materialize(texts.mapInArrow(sketched, "doc_id long, n int, digest binary, prefix binary"), "sketches")
-    classes = all_docs.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    all_docs = materialize(texts.mapInArrow(sketched, "doc_id long, th long, n int, digest binary, prefix binary"), "sketches")
+    classes = all_docs.where("digest is not null and doc_id is not null").groupBy("digest").agg(F.min(F.struct("doc_id", "th")).alias("least"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
+    classes = classes.select(F.monotonically_increasing_id().alias("key"), F.col("least.doc_id").alias("rep"), F.col("least.th").alias("th"), "digest", "n", "prefix")
     records = materialize(classes, "records")
     release(spark)
     total = records.agg(F.sum(F.length("prefix") / 8)).first()[0] or 0
@@ -254,7 +267,7 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, i
             out = np.zeros(int(lens.sum()), _POSTINGS)
             out["key"] = np.concatenate(prefixes) if prefixes else 0
             out["pos"] = ragged(np.zeros(len(lens), np.int64), lens)
-            out["id"], out["n"] = np.repeat(b.column("rep").to_numpy(), lens), np.repeat(b.column("n").to_numpy(), lens)
+            out["id"], out["n"] = np.repeat(b.column("key").to_numpy(), lens), np.repeat(b.column("n").to_numpy(), lens)
             yield out
 
     def listed(records: np.ndarray) -> pa.RecordBatch | None:
@@ -282,12 +295,12 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, i
         return pa.RecordBatch.from_arrays([pa.array(records["key"].view(np.int64), pa.int64()), pa.array(records["id"], pa.int64()), pa.array(records["n"], pa.int32()), pa.array(records["pos"], pa.int32()), pa.array(lead, pa.int64())], ["h", "id", "n", "pos", "lead"])
 
     buckets = buckets_for(spark, int(total))
-    lists = materialize(gather(scatter(records.select("rep", "n", "prefix"), postings, buckets), _POSTINGS, buckets, listed, "h long, id long, n int, pos int, lead long"), "lists")
+    lists = materialize(gather(scatter(records.select("key", "n", "prefix"), postings, buckets), _POSTINGS, buckets, listed, "h long, id long, n int, pos int, lead long"), "lists")
     release(spark)
 
     # first each member with its leader, then members of a list that are in different components
     first = materialize(lists.where("lead <> id").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct(), "pairs")
-    links = _verified(materialize(_bounded(first, records, percent), "allowed"), texts, percent, size)
+    links = _verified(materialize(_bounded(first, records, percent), "allowed"), records, texts, percent, size)
     comp = components(links)
     member = lists.join(comp, "id", "left").select("h", "id", "n", "pos", F.coalesce("component", "id").alias("c"))
     split = member.groupBy("h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("h")
@@ -301,18 +314,38 @@ def similar_groups(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, i
     tested = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     second = materialize(across.join(tested, ["a", "b"], "left_anti"), "pairs")
     if not second.isEmpty():
-        more = _verified(materialize(_bounded(second, records, percent), "allowed"), texts, percent, size)
+        more = _verified(materialize(_bounded(second, records, percent), "allowed"), records, texts, percent, size)
         if not more.isEmpty():
             links = links.unionByName(more)
             comp = components(links)
     release(spark)
-    comp = comp.select(F.col("id").alias("rep"), "component")
-    known = materialize(records.select("digest", "rep").join(comp, "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id")), "classes")
-    rows = all_docs.select("doc_id", F.col("n").cast("long").alias("n_shingles"), "digest")
-    return rows.join(known, "digest", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    linked = records.select("key", "rep", "th", "digest").join(comp.withColumnRenamed("id", "key"), "key")
+    heads = linked.groupBy("component").agg(F.min(F.struct("rep", "th")).alias("head"))
+    heads = linked.join(heads, "component").select("key", F.col("head.rep").alias("head"), F.col("head.th").alias("head_th"))
+    known = records.join(heads, "key", "left").select("digest", F.coalesce("head", "rep").alias("head"), F.coalesce("head_th", "th").alias("head_th"))
+    known = materialize(known, "classes")
+    rows = all_docs.select("doc_id", "th", F.col("n").cast("long").alias("n_shingles"), "digest").join(known, "digest", "left")
+    with_id = F.col("doc_id").isNotNull()
+    return rows.select("doc_id", "th", "n_shingles", F.when(with_id, F.col("head")).alias("head"), F.when(with_id, F.col("head_th")).alias("head_th"))
 
 
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row of each component stays, that of its smallest doc_id, with all its columns; null ids and empty texts stay."""
-    away = similar_groups(docs, id_col=id_col).where("component_id <> doc_id").select("doc_id").distinct()
-    return without(docs, materialize(away, "near-copies"), [(id_col, "doc_id")])
+def similar_groups(docs: DataFrame, percent: int = PERCENT, size: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id."""
+    return _grouped(docs, percent, size, id_col, text_col).select("doc_id", "n_shingles", F.coalesce("head", "doc_id").alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each component stays, with all its columns: that of the smallest doc_id, of one id's texts that of the least
+    hash, of repeated rows any one. Rows without id or shingles stay."""
+    th = "__hash_of_text"
+    while th in docs.columns:
+        th += "_"
+    found = _grouped(docs, PERCENT, WORDS, id_col, text_col).where("head is not null")
+    stays = (F.col("doc_id") == F.col("head")) & (F.col("th") == F.col("head_th"))
+    found = materialize(found.groupBy("doc_id", "th").agg(F.first(stays).alias("stays"), F.count("*").alias("n")).where("not stays or n > 1"), "near-copies")
+    on = [(id_col, "doc_id"), (th, "th")]
+    rows = without(docs.withColumn(th, F.xxhash64(F.col(text_col).cast("string"))), found.where("not stays"), on)
+    twice = found.where("stays")
+    if not twice.isEmpty():
+        rows = without(rows, twice, on).unionByName(without(rows, twice, on, "left_semi").dropDuplicates([id_col, th]))
+    return rows.drop(th)
