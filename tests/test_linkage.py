@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 from titlelink.functions import dates as D
 from titlelink.functions import text as T
 from titlelink.functions.ratio import lcs, token_set_ratio
-from titlelink.operators import linkage, token_bucket
+from titlelink.operators import linkage, sessions, token_bucket
 from titlelink.sources import feed
 
 DATA = "/root/testdata/sf0.001"
@@ -141,6 +141,45 @@ def test_feed_attributes(spark):
     assert (r.title, r.link, r["size"], r.categories, r.seeders, r.leechers, r.attrs["n"]) == ("A & B", "", 12, [6000], 3, None, "2")
 
 
+def test_whole_feed(spark):
+    import xml.etree.ElementTree as ET
+
+    items = spark.createDataFrame([(k, "f", f"<item><title>T &lt;{k}&gt;</title><guid>g{k}</guid></item>") for k in (2, 0, 1)], "place int, feed_id string, item string")
+    parsed = items.select("feed_id", "place", F.from_xml("item", feed.ITEM).alias("x")).select("feed_id", "place", "x.*")
+    keyed = feed.parse_items(parsed).join(parsed.select("feed_id", "place", "guid"), "guid")
+    own = F.when(F.col("place") == 1, F.lit("A & B"))
+    feeds = spark.createDataFrame([("f",), ("none",)], "feed_id string")
+    got = {r.feed_id: ET.fromstring(r.document.encode()) for r in feed.render_feed(keyed.withColumn("title_override", own), feeds, "a & b").collect()}
+    assert [c.tag for c in got["none"].find("channel")] == ["title"] and got["f"].find("channel/title").text == "a & b"
+    assert [i.find("title").text for i in got["f"].iter("item")] == ["T <0>", "A & B", "T <2>"]
+    attrs = [[(a.get("name"), a.get("value")) for a in i.iter("{%s}attr" % feed.NAMESPACE)] for i in got["f"].iter("item")]
+    assert attrs == [[], [("originaltitle", "T <1>")], []]
+
+
+def test_terms_that_cannot_be_resolved_pass_through(spark):
+    e = spark.createDataFrame([ENTITY], SCHEMA)
+    listed = spark.createDataFrame([(k, t) for k, t in enumerate(["North Light one", "South Light two", "light 01.02.2020 north", "x"])], "listing_id long, title string")
+    terms = {1: "North Light 14.07.2026", 2: "north light", 3: "light 31.02.2020", 4: "Light 01.02.2020", 5: "", 6: None, 7: "light"}
+    q = spark.createDataFrame(list(terms.items()), "query_id long, term string")
+    routed = linkage.route(q, e)
+    lost = "unparseable-query"
+    assert {r.query_id: r.reason for r in routed.collect()} == {1: None, 2: lost, 3: lost, 4: "scene-unresolved", 5: lost, 6: lost, 7: lost}
+    assert {r.query_id: (r.mode, r.reason) for r in linkage.route(q.where("query_id in (1, 2)"), None).collect()} == {1: ("passthrough", "no-index"), 2: ("passthrough", lost)}
+    granted = routed.withColumn("granted", F.when(F.col("query_id") != 7, F.lit(True)))
+    found = {}
+    for r in linkage.passthrough(granted, listed, limit=3).collect():
+        found.setdefault(r.query_id, set()).add(r.listing_id)
+    assert found == {2: {0, 2}, 4: {2}, 5: {1, 2, 3}, 6: {1, 2, 3}}
+    assert linkage.passthrough(granted, listed.where("false")).count() == 0
+
+
+def test_variant_trace(spark):
+    planned = spark.createDataFrame([(1, 0, "a"), (1, 1, "b"), (1, 2, "c"), (1, 3, "d"), (2, 0, "a")], "search_id int, place int, text string")
+    fired = spark.createDataFrame([(1, 0, "b", 4), (1, 1, "a", 0), (1, 2, "b", 5), (3, 0, "z", 1)], "search_id int, seq int, text string, results long")
+    got = sorted(map(tuple, sessions.variant_trace(planned, fired).collect()))
+    assert got == [(1, 0, "b", True, 5), (1, 1, "a", True, 0), (1, 2, "c", False, None), (1, 3, "d", False, None), (2, 0, "a", False, None), (3, 0, "z", True, 1)]
+
+
 def test_catalog_days(spark):
     texts = {"2020-02-03T10:00:00Z": "2020-02-03", "2020-02-03": "2020-02-03", "20200203": "2020-02-03", "2020": None, "2020-2": None, "2020-2-3": None, "2020-02-30": None, "20200230": None, "soon": None, "": None, None: None, "2020020312": None}
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", feed.catalog_day(F.col("t")).cast("string").alias("d")).collect()

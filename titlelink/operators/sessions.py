@@ -60,6 +60,16 @@ def early_stop(fired: DataFrame, settings: Settings = DEFAULTS) -> DataFrame:
     return fired.where("true").withColumn("before", before).where(F.coalesce("before", F.lit(0)) < settings.threshold).drop("before")
 
 
+def variant_trace(planned: DataFrame, fired: DataFrame) -> DataFrame:
+    """planned: search_id, place, text. fired: search_id, seq, text, results. One row per search and text: place, text, fired, results.
+    First the fired ones in the order of their first firing, each with its last count, then those that were planned only."""
+    own = fired.groupBy("search_id", "text").agg(F.min("seq").alias("at"), F.max_by("results", "seq").alias("results"), F.lit(True).alias("fired"))
+    left = planned.join(own, ["search_id", "text"], "left_anti").groupBy("search_id", "text").agg(F.min("place").alias("at"))
+    left = left.select("search_id", "text", "at", F.lit(None).cast(own.schema["results"].dataType).alias("results"), F.lit(False).alias("fired"))
+    place = F.row_number().over(Window.partitionBy("search_id").orderBy(F.desc("fired"), "at", "text")) - 1
+    return own.unionByName(left).select("search_id", place.alias("place"), "text", "fired", "results")
+
+
 def gated(fired: DataFrame, budget_seconds: float = DEFAULTS.search_seconds) -> DataFrame:
     """fired: search_id, variant, granted, elapsed (seconds at which it would start). The variants before the first that gets
     no token or starts after the time budget; what they found is kept."""

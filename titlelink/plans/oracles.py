@@ -156,6 +156,12 @@ def oracle_sql() -> dict[str, str]:
         "src_catalog_map": with_duck(f"SELECT entity_id, p AS publisher, strftime(d, '%Y-%m-%d') AS day, title, CASE WHEN {_sq(_alias('p'))} <> {_sq('p')} THEN {_alias('p')} ELSE '' END AS aliases, array_to_string(people, ',') AS people FROM (SELECT *, CASE WHEN entity_id % 3 <> 0 THEN publisher WHEN entity_id % 2 = 0 THEN publisher || ' XXX' END AS p FROM {_ENT} z) y WHERE p IS NOT NULL AND entity_id % 5 <> 0 AND (entity_id % 7 <> 0 OR (day(d) > 9 AND month(d) > 9)) AND (entity_id % 7 = 0 OR entity_id % 11 <> 0)"),
         "src_feed_roundtrip": with_duck("SELECT 'g' || CAST(listing_id AS VARCHAR) AS guid, title, 'http://x/?a=1&b=2' AS link, listing_id * 1000 AS size, '6000,6010' AS categories, CAST(4 AS BIGINT) AS seeders, '3' AS grabs FROM l"),
         "src_remote_search": with_duck(f"SELECT query_id, listing_id FROM (SELECT entity_id AS query_id, listing_id, row_number() OVER (PARTITION BY entity_id ORDER BY listing_id) AS k FROM e JOIN (SELECT listing_id, unnest(list_distinct({_tok('title')})) AS t FROM l) w ON t = lower(person1)) r WHERE k <= 100"),
+        "search_passthrough": with_duck(
+            f"SELECT query_id, listing_id, title FROM (SELECT query_id, listing_id FROM (SELECT entity_id AS query_id, listing_id, row_number() OVER (PARTITION BY entity_id ORDER BY listing_id) AS k FROM e JOIN (SELECT listing_id, unnest(list_distinct({_tok('title')})) AS t FROM l) w ON t = lower(person1) WHERE entity_id % 50 <> 0) r WHERE k <= 100"
+            " UNION ALL SELECT entity_id, listing_id FROM e, (SELECT listing_id FROM l ORDER BY listing_id DESC LIMIT 100) n WHERE entity_id % 50 = 0 OR person1 IS NULL) x JOIN (SELECT listing_id, title FROM l) y USING (listing_id) WHERE query_id % 7 <> 0"
+        ),
+        "session_variants": "WITH p AS (SELECT user_id AS search_id, event_type AS text, min(event_id) AS planned, min(event_id) FILTER (value > 50) AS fired_at, arg_max(CAST(floor(value) AS BIGINT), event_id) FILTER (value > 50) AS results FROM events GROUP BY user_id, event_type)"
+        " SELECT search_id, row_number() OVER (PARTITION BY search_id ORDER BY fired_at IS NULL, coalesce(fired_at, planned), text) - 1 AS place, text, fired_at IS NOT NULL AS fired, results FROM p",
         "join_resolve": with_duck(f"SELECT DISTINCT query_id, e.entity_id FROM (SELECT query_id, publisher, unnest(CASE WHEN day(d) <= 12 AND day(d) <> month(d) THEN [d, make_date(CAST(year(d) AS BIGINT), CAST(day(d) AS BIGINT), CAST(month(d) AS BIGINT))] ELSE [d] END) AS r FROM {_TERM} z) q JOIN e ON {_sq('e.publisher')} = {_sq('q.publisher')} AND abs(date_diff('day', q.r, e.d)) <= 1"),
         "join_date_band": with_duck(f"SELECT listing_id, {_SUMS} FROM ({_DATE_PAIRS}) p GROUP BY listing_id"),
         "join_token_overlap": with_duck(f"SELECT listing_id, {_SUMS} FROM ({_TOKEN_PAIRS}) p GROUP BY listing_id"),

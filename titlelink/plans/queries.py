@@ -183,6 +183,22 @@ def search_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.where(F.col("confidence") >= DEFAULTS.threshold).select("query_id", "listing_id", "entity_id", "variant", "confidence")
 
 
+def search_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms that name a person only, and some that are empty: both pass through, one in seven without a token."""
+    e, l = entities(spark, sf_dir), listings(spark, sf_dir)
+    term = F.when(F.col("entity_id") % 50 == 0, "").otherwise(F.element_at("people", 1))
+    routed = linkage.route(e.select(F.col("entity_id").alias("query_id"), term.alias("term")), e)
+    return linkage.passthrough(routed.withColumn("granted", F.col("query_id") % 7 != 0), l)
+
+
+def session_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A user's events as planned variants, those of a value above 50 as fired ones."""
+    e = _read(spark, sf_dir, "events").select(F.col("user_id").alias("search_id"), F.col("event_id").alias("place"), F.col("event_type").alias("text"), "value")
+    fired = e.where("value > 50").select("search_id", F.col("place").alias("seq"), "text", F.floor("value").alias("results"))
+    out = sessions.variant_trace(e.select("search_id", "place", "text"), fired)
+    return out.withColumn("place", F.col("place").cast("long"))
+
+
 def _queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = _read(spark, sf_dir, "orders")
     state = F.when(F.col("o_orderstatus") == "F", "importBlocked").when(F.col("o_orderstatus") == "P", "importPending").otherwise("downloading")
@@ -408,10 +424,10 @@ def index_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 ALL = (
     fn_squash, fn_tokens, fn_suffix_alias, fn_ngrams, fn_name_hits, fn_quality_tokens, fn_canonical_title, fn_redact, fn_basename, fn_size_text, fn_categories,
     dt_parse_query, dt_extract, dt_min_offset, src_catalog_map, src_feed_roundtrip, src_remote_search, join_resolve, join_date_band, join_token_overlap, join_blocked_capped,
-    score_pairs, feed_match, plan_variants, search_mode, queue_holds, import_single, import_pack_verdicts, import_pack_final, sweep_summary,
+    score_pairs, feed_match, plan_variants, search_mode, search_passthrough, queue_holds, import_single, import_pack_verdicts, import_pack_final, sweep_summary,
     session_ring, session_candidates_capped, session_status, grab_correlate, import_correlate, grab_pills, rate_limit,
     fn_token_set_ratio, fn_explain, queue_map, import_files_map, import_route, import_commands, hold_sweeps, hold_wake, catalog_counts, webhook_map, search_gated,
-    grab_records, grab_orphans, session_pills, session_snapshot, index_health,
+    grab_records, grab_orphans, session_pills, session_snapshot, index_health, session_variants,
 )
 
 
