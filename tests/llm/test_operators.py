@@ -328,6 +328,22 @@ def test_op7(docs, rows, empty):
     assert token_files.token_ids(empty).count() == 0
 
 
+def test_token_files_hold_the_ids(spark, docs, rows, tmp_path):
+    folder = token_files.write_ids(docs, tokenizer_path("word_bpe_49k.json"), folder=f"file://{tmp_path}/ids", partitions=3, text_bytes=500)  # many records: a part has several files
+    files = sorted(f for f in (tmp_path / "ids").iterdir() if f.name.startswith("part-"))
+    assert len(files) > 3
+    got = [r for f in files for r in token_files.records(memoryview(f.read_bytes()))]
+    assert [r[:2] for r in got] == sorted(r[:2] for r in got)  # in the order of the names, nothing missing
+    found = [(i, x.tolist()) for _, _, doc_ids, lens, ids in got for i, x in zip(doc_ids.to_pylist(), np.split(ids, np.cumsum(lens)[:-1]), strict=True)]
+    assert [i for i, _ in found] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
+    want = [(i, x) for (i, _), x in zip(rows, _encoded(rows, "word_bpe_49k.json", 1), strict=True)]
+    assert sorted(found, key=str) == sorted(want, key=str)
+    assert sorted((r.start, r.n_tokens) for r in token_files.read_ids(spark, folder).collect())[-1][0] == sum(len(x) for _, x in found[:-1])
+    whole = files[0].read_bytes()
+    with pytest.raises(ValueError):
+        list(token_files.records(memoryview(whole[1:])))
+
+
 def test_op9(docs, rows, empty):
     by_id = {}
     for (i, _), x in zip(rows, _encoded(rows, "byte_bpe_50k.json", 0), strict=True):

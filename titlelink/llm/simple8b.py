@@ -69,6 +69,12 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     return MAGIC + np.array([n, block, n_blocks, len(out)], np.int64).tobytes() + offsets.tobytes() + out.tobytes()
 
 
+def image_size(image: bytes) -> int:
+    """Bytes of the image that begins here, whatever follows it."""
+    n, _, n_blocks, n_words = np.frombuffer(image, np.int64, 4, 4)
+    return 36 + (8 * (int(n_blocks) + 1) + 8 * int(n_words) if n else 0)
+
+
 def decode(image: bytes, first_block: int = 0, last_block: int | None = None) -> np.ndarray:
     """The ids (uint64) of blocks first_block .. last_block (excluded; None: to the end)."""
     if image[:4] != MAGIC:
