@@ -2,6 +2,7 @@
 
 import datetime as dt
 import glob
+import json
 import os
 
 import duckdb
@@ -180,6 +181,32 @@ def test_variant_trace(spark):
     assert got == [(1, 0, "b", True, 5), (1, 1, "a", True, 0), (1, 2, "c", False, None), (1, 3, "d", False, None), (2, 0, "a", False, None), (3, 0, "z", True, 1)]
 
 
+def test_unmatched_entries(spark):
+    grabs = spark.createDataFrame([(1, 10, "a"), (4, 11, "a"), (5, 12, ""), (5, 13, None)], "at int, grab_id long, download_id string")
+    imports = spark.createDataFrame([(2, 20, "a", True), (3, 21, "a", False), (6, 22, "b", True), (7, 23, "b", False), (8, 24, "", True), (9, 25, "", True), (9, 26, "a", True)], "at int, import_id long, download_id string, dry_run boolean")
+    want = [(9, None, None, 25, True), (8, None, None, 24, True), (6, "b", None, 23, False), (5, None, 13, None, None), (5, None, 12, None, None), (4, "a", 11, 26, True), (1, "a", 10, 21, False)]
+    assert [tuple(r) for r in sessions.unmatched(grabs, imports).collect()] == want
+    assert [tuple(r) for r in sessions.unmatched(grabs, imports, 3).collect()] == want[:3]
+    assert sessions.unmatched(grabs.where("false"), imports.where("false")).count() == 0
+
+
+def test_import_stamps(spark):
+    records = spark.createDataFrame([(1, "a", 10, 12), (2, "a", 20, 20), (2, None, 21, 21), (2, "b", 22, 22)], "session_id int, download_id string, place long, grab_id long")
+    imports = spark.createDataFrame([(30, "a", True), (31, "a", False), (32, "", True), (33, "z", True)], "import_id long, download_id string, dry_run boolean")
+    got = {(r.session_id, r.place): (r.import_id, r.dry_run) for r in sessions.stamped(records, imports).collect()}
+    assert got == {(1, 10): (None, None), (2, 20): (31, False), (2, 21): (None, None), (2, 22): (None, None)}
+
+
+def test_session_document(spark):
+    kept = sessions.snapshot(spark.createDataFrame([(1, "x"), (10, "y"), (2, 'q"')], "session_id int, term string"), {}, keep=2)
+    entries = spark.createDataFrame([(3, 7), (9, None)], "at int, grab_id int")
+    state = spark.createDataFrame([(5, 60)], "index_size long, index_age long")
+    got = json.loads(sessions.document(kept, entries, state).first()[0])
+    assert got == {"sessions": [{"session_id": 10, "term": "y"}, {"session_id": 2, "term": 'q"'}], "unmatched_grabs": [{"at": 9}, {"at": 3, "grab_id": 7}], "index_size": 5, "index_age": 60}
+    nothing = json.loads(sessions.document(kept.where("false"), entries.where("false"), state.withColumn("index_age", F.lit(None).cast("long"))).first()[0])
+    assert nothing == {"sessions": [], "unmatched_grabs": [], "index_size": 5, "index_age": None}
+
+
 def test_catalog_days(spark):
     texts = {"2020-02-03T10:00:00Z": "2020-02-03", "2020-02-03": "2020-02-03", "20200203": "2020-02-03", "2020": None, "2020-2": None, "2020-2-3": None, "2020-02-30": None, "20200230": None, "soon": None, "": None, None: None, "2020020312": None}
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", feed.catalog_day(F.col("t")).cast("string").alias("d")).collect()

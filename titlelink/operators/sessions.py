@@ -20,7 +20,9 @@ def capped_candidates(candidates: DataFrame, settings: Settings = DEFAULTS) -> D
 
 
 def session_counts(candidates: DataFrame) -> DataFrame:
-    return candidates.groupBy("session_id").agg(F.count("*").alias("n"), F.count_if("matched").alias("matched"), F.count_if(~F.col("matched")).alias("dropped"), F.max("confidence").alias("best"))
+    """candidates: session_id, confidence, matched, rewritten (the title that was given out, if any)."""
+    rewritten = F.count("rewritten").alias("rewritten")
+    return candidates.groupBy("session_id").agg(F.count("*").alias("n"), F.count_if("matched").alias("matched"), F.count_if(~F.col("matched")).alias("dropped"), rewritten, F.max("confidence").alias("best"))
 
 
 def status(counts: DataFrame) -> DataFrame:
@@ -92,6 +94,36 @@ def orphans(correlated: DataFrame, keep: int = DEFAULTS.orphans) -> DataFrame:
     return correlated.where("session_id is null").orderBy(F.desc("grab_id")).limit(keep)
 
 
+def stamped(records: DataFrame, imports: DataFrame) -> DataFrame:
+    """records: what grab_records gives. imports: import_id, download_id, dry_run. Each record with its last import, null without one:
+    an import belongs to the newest session that has its download, to the first record of it there."""
+    w = Window.partitionBy("download_id").orderBy(F.desc("session_id"), "place")
+    owner = records.where("download_id is not null").withColumn("rank", F.row_number().over(w)).where("rank = 1").select("session_id", "place", "download_id")
+    last = imports.where("download_id <> ''").groupBy("download_id").agg(F.max_by(F.struct("import_id", "dry_run"), "import_id").alias("last"))
+    own = owner.join(last, "download_id").select("session_id", "place", "last.import_id", "last.dry_run")
+    return records.join(own, ["session_id", "place"], "left")
+
+
+def unmatched(grabs: DataFrame, imports: DataFrame, keep: int = DEFAULTS.orphans) -> DataFrame:
+    """What no session lists, newest first. grabs: at, grab_id, download_id, without a session. imports: at, import_id, download_id,
+    dry_run, of which no session has the download. Each grab is an entry; an import goes to the newest entry of its download so far
+    and is an entry of its own if there is none or it has no download id. The bound is the feature; an import whose entry has
+    left the ring goes with it. Rows: at, download_id, grab_id, and the last import's import_id and dry_run."""
+    own = F.nullif(F.col("download_id"), F.lit(""))
+    kind = imports.schema["import_id"].dataType
+    rows = grabs.select("at", own.alias("download_id"), "grab_id", F.lit(None).cast(kind).alias("import_id"), F.lit(None).cast("boolean").alias("dry_run"))
+    rows = rows.unionByName(imports.select("at", own.alias("download_id"), F.lit(None).cast(grabs.schema["grab_id"].dataType).alias("grab_id"), "import_id", "dry_run"))
+    # rows without a download id stay apart, so none of them meet in one window
+    apart = F.when(F.col("download_id").isNull(), F.struct("grab_id", "import_id"))
+    w = Window.partitionBy("download_id", "apart").orderBy("at", F.col("grab_id").isNull(), "grab_id", "import_id")
+    rows = rows.withColumn("apart", apart).withColumn("begins", F.col("grab_id").isNotNull() | (F.row_number().over(w) == 1))
+    rows = rows.withColumn("entry", F.sum(F.col("begins").cast("int")).over(w))
+    last = F.max_by(F.when(F.col("import_id").isNotNull(), F.struct("import_id", "dry_run")), F.when(F.col("import_id").isNotNull(), F.struct("at", "import_id")))
+    each = rows.groupBy("download_id", "apart", "entry").agg(F.min("at").alias("at"), F.max("grab_id").alias("grab_id"), last.alias("last"))
+    each = each.select("at", "download_id", "grab_id", "last.import_id", "last.dry_run")
+    return each.orderBy(F.desc("at"), F.desc("grab_id"), F.desc("import_id"), F.desc("download_id")).limit(keep)
+
+
 def pills(records: DataFrame) -> DataFrame:
     """records: session_id, dry_run (of its import; null: none yet). A session's counted labels, the strongest first."""
     imported = F.col("dry_run").isNotNull()
@@ -114,6 +146,19 @@ def snapshot(sessions: DataFrame, children: dict[str, DataFrame], order: str = "
     return out.select("session_id", F.to_json(F.struct(*out.columns)).alias("json"))
 
 
+def document(kept: DataFrame, entries: DataFrame, state: DataFrame, order: str = "session_id") -> DataFrame:
+    """One JSON document of what snapshot and unmatched keep and of health's row (each bounded): sessions and unmatched_grabs newest
+    first, index_size and index_age."""
+    heads = kept.agg(F.reverse(F.array_sort(F.collect_list(F.struct(order, "json")))).alias("s"))
+    heads = heads.select(F.concat(F.lit("["), F.array_join(F.transform("s", lambda x: x["json"]), ","), F.lit("]")).alias("sessions"))
+    lost = entries.agg(F.reverse(F.array_sort(F.collect_list(F.struct(*entries.columns)))).alias("g")).select(F.to_json("g").alias("lost"))
+    index = state.select("index_size", "index_age")
+    # each side is one row
+    one = F.lit(1).alias("one")
+    whole = heads.select("*", one).join(lost.select("*", one), "one").join(index.select("*", one), "one")
+    return whole.select(F.format_string('{"sessions":%s,"unmatched_grabs":%s,"index_size":%s,"index_age":%s}', "sessions", "lost", F.col("index_size").cast("string"), F.coalesce(F.col("index_age").cast("string"), F.lit("null"))).alias("json"))
+
+
 def health(entities: DataFrame, built_at: Column, now: Column) -> DataFrame:
     """Size and age in seconds of the catalog that is matched against, and its distinct publisher names."""
     from ..functions import text as T

@@ -191,6 +191,7 @@ def oracle_sql() -> dict[str, str]:
         "session_ring": "SELECT user_id, event_id, rank FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rank FROM events WHERE event_type = 'view') a WHERE rank <= 50",
         "session_candidates_capped": "SELECT session_id, seq, confidence, matched FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY matched DESC, confidence DESC, seq) AS k FROM (SELECT user_id AS session_id, event_id AS seq, CAST(CAST(floor(value * 7) AS BIGINT) % 101 AS INT) AS confidence, event_type = 'purchase' AS matched FROM events) a) b WHERE matched OR k <= 200",
         "session_status": "SELECT session_id, n, matched, n - matched AS dropped, best, CASE WHEN session_id % 10 = 0 THEN 'error' WHEN session_id % 7 = 0 THEN 'rss' WHEN session_id % 5 = 0 THEN 'passthrough' WHEN matched > 0 THEN 'matched' ELSE 'empty' END AS status FROM (SELECT user_id AS session_id, count(*) AS n, CAST(count(*) FILTER (event_type = 'purchase') AS BIGINT) AS matched, max(CAST(CAST(floor(value * 7) AS BIGINT) % 101 AS INT)) AS best FROM events GROUP BY user_id) a",
+        "session_rewritten": "SELECT user_id AS session_id, count(*) FILTER (event_type = 'purchase') AS matched, count(*) FILTER (event_type = 'purchase' AND event_id % 3 = 0) AS rewritten FROM events GROUP BY user_id",
         "grab_correlate": """WITH x AS (SELECT *, CAST(user_id AS VARCHAR) || '-' || CAST(CAST(floor(value) AS BIGINT) % 10 AS VARCHAR) AS title, CAST(floor(value * 100) AS BIGINT) % 5 AS size FROM events),
             h AS (SELECT g.event_id AS grab_id, v.event_id // 100 AS session_id, v.event_id AS guid, g.size = v.size AS same FROM x g JOIN x v ON g.title = v.title AND g.event_type = 'purchase' AND v.event_type = 'view'),
             t AS (SELECT grab_id, max(session_id) AS session_id FROM h GROUP BY grab_id)
@@ -236,6 +237,15 @@ def oracle_sql() -> dict[str, str]:
         "grab_records": """SELECT session_id, did AS download_id, min(event_id) AS place, max(event_id) AS grab_id, CAST(max(event_id) * 3 AS VARCHAR) AS guid FROM (SELECT event_id, event_id // 100 AS session_id, CASE WHEN event_id % 6 <> 0 THEN CAST(user_id AS VARCHAR) END AS did, CASE WHEN event_id % 6 = 0 THEN event_id END AS apart FROM events WHERE event_id % 4 > 0) a
             GROUP BY session_id, did, apart""",
         "grab_orphans": "SELECT event_id AS grab_id, CASE WHEN event_id % 6 = 0 THEN '' ELSE CAST(user_id AS VARCHAR) END AS download_id FROM events WHERE event_id % 4 = 0 ORDER BY event_id DESC LIMIT 20",
+        "grab_stamps": """WITH x AS (SELECT event_id AS k, event_id // 100 AS sid, CAST(user_id AS VARCHAR) AS u FROM events WHERE event_id % 4 > 0),
+            r AS (SELECT sid, CASE WHEN k % 6 <> 0 THEN u END AS did, min(k) AS place FROM x GROUP BY sid, CASE WHEN k % 6 <> 0 THEN u END, CASE WHEN k % 6 = 0 THEN k END),
+            o AS (SELECT *, did IS NOT NULL AND row_number() OVER (PARTITION BY did ORDER BY sid DESC, place) = 1 AS first FROM r),
+            i AS (SELECT CAST(user_id AS VARCHAR) AS u, max(event_id) AS import_id FROM events WHERE event_type = 'signup' AND event_id % 8 <> 0 GROUP BY user_id)
+            SELECT sid AS session_id, did AS download_id, place, import_id, import_id % 2 = 0 AS dry_run FROM o LEFT JOIN i ON first AND u = did""",
+        "grab_unmatched": """WITH x AS (SELECT event_id AS k, event_type = 'signup' AS imp, CASE WHEN event_id % CASE WHEN event_type = 'signup' THEN 8 ELSE 6 END <> 0 THEN CAST(user_id AS VARCHAR) END AS did FROM events WHERE event_type = 'signup' OR event_id % 4 = 0),
+            b AS (SELECT *, did IS NULL OR NOT imp OR NOT EXISTS (SELECT 1 FROM x y WHERE y.did = x.did AND y.k < x.k) AS begins FROM x),
+            e AS (SELECT *, CASE WHEN begins THEN k ELSE max(CASE WHEN begins THEN k END) OVER (PARTITION BY did ORDER BY k) END AS entry FROM b)
+            SELECT entry AS at, any_value(did) AS download_id, max(CASE WHEN NOT imp THEN k END) AS grab_id, max(CASE WHEN imp THEN k END) AS import_id, max(CASE WHEN imp THEN k END) % 2 = 0 AS dry_run FROM e GROUP BY entry""",
         "session_pills": """SELECT session_id, concat_ws(', ', CASE WHEN a > 1 THEN 'Imported ×' || CAST(a AS VARCHAR) WHEN a = 1 THEN 'Imported' END, CASE WHEN b > 1 THEN 'Would import (dry-run) ×' || CAST(b AS VARCHAR) WHEN b = 1 THEN 'Would import (dry-run)' END, CASE WHEN c > 1 THEN 'Grabbed ×' || CAST(c AS VARCHAR) WHEN c = 1 THEN 'Grabbed' END) AS pills
             FROM (SELECT event_id // 5 AS session_id, count(*) FILTER (event_id % 3 = 0 AND event_id % 2 <> 0) AS a, count(*) FILTER (event_id % 6 = 0) AS b, count(*) FILTER (event_id % 3 <> 0) AS c FROM events GROUP BY event_id // 5) s""",
         "session_snapshot": """SELECT session_id, '{"session_id":' || CAST(session_id AS VARCHAR) || ',"n":' || CAST(n AS VARCHAR) || ',"candidates":[' || coalesce(c, '') || ']}' AS json FROM (SELECT event_id // 7 AS session_id, count(*) AS n,

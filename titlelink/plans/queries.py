@@ -166,7 +166,8 @@ def plan_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every catalog term: resolved, planned from its first entity, searched variant by variant until one clears the threshold."""
+    """Every catalog term: resolved, planned from its first entity, searched variant by variant until one clears the threshold or
+    gets no token (one in eleven here). rank: the order in which a term's listings are given out, by confidence, then as first seen."""
     e, l = entities(spark, sf_dir), listings(spark, sf_dir)
     found = linkage.resolve(_terms(e), e)
     first = found.groupBy("query_id").agg(F.min("entity_id").alias("entity_id"))
@@ -177,10 +178,13 @@ def search_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = linkage.score(pairs.select("listing_id", "entity_id").distinct(), l, e).select("listing_id", "entity_id", "confidence")
     each = pairs.join(scored, ["listing_id", "entity_id"])
     fired = planned.select("query_id", "variant").join(each.groupBy("query_id", "variant").agg(F.max("confidence").alias("best")), ["query_id", "variant"], "left")
-    ran = sessions.early_stop(fired.withColumnRenamed("query_id", "search_id"), DEFAULTS).select(F.col("search_id").alias("query_id"), "variant")
+    fired = sessions.gated(fired.withColumnRenamed("query_id", "search_id").withColumns({"granted": (F.col("search_id") + F.col("variant")) % 11 != 10, "elapsed": F.col("variant") * 0.5}))
+    ran = sessions.early_stop(fired, DEFAULTS).select(F.col("search_id").alias("query_id"), "variant")
     w = Window.partitionBy("query_id", "listing_id").orderBy(F.desc("confidence"), "variant", "entity_id")
     top = each.join(ran, ["query_id", "variant"], "left_semi").withColumn("rank", F.row_number().over(w)).where("rank = 1")
-    return top.where(F.col("confidence") >= DEFAULTS.threshold).select("query_id", "listing_id", "entity_id", "variant", "confidence")
+    out = top.where(F.col("confidence") >= DEFAULTS.threshold).select("query_id", "listing_id", "entity_id", "variant", "confidence")
+    # the remote side lists the highest ids first
+    return out.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("confidence"), "variant", F.desc("listing_id"))))
 
 
 def search_passthrough(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -266,8 +270,16 @@ def session_candidates_capped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.capped_candidates(_candidates(spark, sf_dir)).select("session_id", "seq", "confidence", "matched")
 
 
+def _session_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.session_counts(_candidates(spark, sf_dir).withColumn("rewritten", F.when(F.col("matched") & (F.col("seq") % 3 == 0), "t")))
+
+
+def session_rewritten(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _session_counts(spark, sf_dir).select("session_id", "matched", "rewritten")
+
+
 def session_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = sessions.session_counts(_candidates(spark, sf_dir))
+    c = _session_counts(spark, sf_dir)
     c = c.withColumns({"error": F.when(F.col("session_id") % 10 == 0, "down"), "mode": F.when(F.col("session_id") % 7 == 0, "rss").when(F.col("session_id") % 5 == 0, "passthrough").otherwise("search")})
     return sessions.status(c).select("session_id", "n", "matched", "dropped", "best", "status")
 
@@ -404,6 +416,22 @@ def grab_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.orphans(_correlated(spark, sf_dir)).select("grab_id", "download_id")
 
 
+def _imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("event_id")
+    return _read(spark, sf_dir, "events").where("event_type = 'signup'").select(k.alias("at"), k.alias("import_id"), F.when(k % 8 == 0, "").otherwise(F.col("user_id").cast("string")).alias("download_id"), (k % 2 == 0).alias("dry_run"))
+
+
+def grab_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.stamped(sessions.grab_records(_correlated(spark, sf_dir)), _imports(spark, sf_dir)).select("session_id", "download_id", "place", "import_id", "dry_run")
+
+
+def grab_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All entries that the sessions don't list; signups are imports, every fourth other event a grab without a session."""
+    grabs = _correlated(spark, sf_dir).where("session_id is null").join(_imports(spark, sf_dir), F.col("grab_id") == F.col("import_id"), "left_anti")
+    entries = sessions.unmatched(grabs.withColumn("at", F.col("grab_id")), _imports(spark, sf_dir), 1 << 30)
+    return entries
+
+
 def session_pills(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("event_id")
     records = _read(spark, sf_dir, "events").select(F.floor(k / 5).alias("session_id"), F.when(k % 3 == 0, k % 2 == 0).alias("dry_run"))
@@ -425,9 +453,9 @@ ALL = (
     fn_squash, fn_tokens, fn_suffix_alias, fn_ngrams, fn_name_hits, fn_quality_tokens, fn_canonical_title, fn_redact, fn_basename, fn_size_text, fn_categories,
     dt_parse_query, dt_extract, dt_min_offset, src_catalog_map, src_feed_roundtrip, src_remote_search, join_resolve, join_date_band, join_token_overlap, join_blocked_capped,
     score_pairs, feed_match, plan_variants, search_mode, search_passthrough, queue_holds, import_single, import_pack_verdicts, import_pack_final, sweep_summary,
-    session_ring, session_candidates_capped, session_status, grab_correlate, import_correlate, grab_pills, rate_limit,
+    session_ring, session_candidates_capped, session_status, session_rewritten, grab_correlate, import_correlate, grab_pills, rate_limit,
     fn_token_set_ratio, fn_explain, queue_map, import_files_map, import_route, import_commands, hold_sweeps, hold_wake, catalog_counts, webhook_map, search_gated,
-    grab_records, grab_orphans, session_pills, session_snapshot, index_health, session_variants,
+    grab_records, grab_orphans, grab_stamps, grab_unmatched, session_pills, session_snapshot, index_health, session_variants,
 )
 
 
