@@ -318,6 +318,16 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_sums_are_coded_without_loss():
+    rng = np.random.default_rng(4)
+    n = np.concatenate([rng.integers(1, 6, 500), rng.integers(1, 3000, 300), [1 << 13, 1 << 16, 1 << 40]])
+    s = (rng.normal(0, 1, (len(n), quality.DIM)) * n[:, None] / 3).astype(np.int64)
+    for k in (slice(None), slice(0, 500), slice(0, 1), slice(0, 0)):
+        head, sums = quality._opened(quality._sealed(b"head", n[k], s[k]))
+        assert head == b"head"
+        assert (sums(n[k]) == s[k]).all()
+
+
 def test_op7(docs, rows, empty):
     ids = _encoded(rows, "word_bpe_49k.json", 1)
     got = sorted(token_files.token_ids(docs).collect(), key=lambda r: r.start)

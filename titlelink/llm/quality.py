@@ -49,7 +49,7 @@ BYTES_A_WORD = 32
 #: Entries of a vector are exact for words of so many neighbours at most, and rounded to such a share for others.
 FINE = 512
 #: Words are told apart by how many neighbours they have when their sums are coded.
-KINDS = np.array([4, 8, 12, 16, 24, 32, 48, 64, 128, 256, 1024])
+KINDS = np.array([4, 8, 12, 16, 24, 32, 48, 64, 128, 256, 512, 1024, 4096, 1 << 14, 1 << 17])
 #: Words whose vectors are held at once in pooling and summing.
 CHUNK = 100_000
 #: What the network may see of a text's numbers.
@@ -169,12 +169,28 @@ def _ints_from(raw: bytes, at: int, count: int) -> tuple[np.ndarray, int]:
     return (z >> np.uint64(1)).view(np.int64) ^ -(z & np.uint64(1)).view(np.int64), at + 1 + width * count
 
 
+def _numbers(x: np.ndarray) -> bytes:
+    """Whole numbers, sign last: of each the top 8 bits that the largest one needs by a Huffman tree, the bits below as they are."""
+    z = ((x << 1) ^ (x >> 63)).view(np.uint64)
+    low = max(0, int(z.max()).bit_length() - 8) if z.size else 0
+    tree = zlib.compressobj(6, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
+    top = tree.compress((z >> np.uint64(low)).astype(np.uint8).tobytes()) + tree.flush()
+    return bytes([low]) + b"".join(np.packbits((z >> np.uint64(k)).astype(np.uint8) & 1).tobytes() for k in range(low)) + top
+
+
+def _numbers_from(raw: bytes, count: int) -> np.ndarray:
+    low, size = raw[0], -(-count // 8)
+    z = np.frombuffer(zlib.decompress(raw[1 + low * size :], -15), np.uint8).astype(np.uint64) << np.uint64(low)
+    for k in range(low):
+        z |= np.unpackbits(np.frombuffer(raw, np.uint8, size, 1 + k * size), count=count).astype(np.uint64) << np.uint64(k)
+    return (z >> np.uint64(1)).view(np.int64) ^ -(z & np.uint64(1)).view(np.int64)
+
+
 def _sealed(head: bytes, n: np.ndarray, s: np.ndarray) -> bytes:
     """A head (which says n) and sums. Sums of words with like counts are of like size and are coded by Huffman trees of their own."""
     parts, kind = [zstandard.ZstdCompressor(level=3).compress(head)], np.searchsorted(KINDS, n)
     for k in np.unique(kind):
-        tree = zlib.compressobj(6, zlib.DEFLATED, -15, 9, zlib.Z_HUFFMAN_ONLY)
-        parts.append(tree.compress(_ints(s[kind == k].ravel())) + tree.flush())
+        parts.append(_numbers(s[kind == k].ravel().astype(np.int64)))
     return np.array([len(parts), *map(len, parts)], np.uint32).tobytes() + b"".join(parts)
 
 
@@ -188,7 +204,7 @@ def _opened(payload: bytes) -> tuple[bytes, Callable[[np.ndarray], np.ndarray]]:
         out, kind = np.empty((len(n), DIM), np.int64), np.searchsorted(KINDS, n)
         for k, part in zip(np.unique(kind), parts[1:], strict=True):
             rows = np.flatnonzero(kind == k)
-            out[rows] = _ints_from(zlib.decompress(part, -15), 0, len(rows) * DIM)[0].reshape(len(rows), DIM)
+            out[rows] = _numbers_from(part, len(rows) * DIM).reshape(len(rows), DIM)
         return out
 
     return zstandard.ZstdDecompressor().decompress(parts[0]), sums
