@@ -67,6 +67,12 @@ def test_text_functions(spark):
     assert r.s == "bigmatoneil21080pwebdlh265" and r.c == ["big", "mat", "o", "neil", "h"] and r.q == ["1080p", "WEB-DL", "x265"] and r.b == "a/b/" and r.g == [] and r.a is None and r.a2 == "Mate"
 
 
+def test_sizes_are_rounded_as_c_rounds_them(spark):
+    sizes = [1_125_000_000, 1_005_000_000, 1_015_000_000, 1_375_000_000, 2_675_000_000, 1_995_000_000, 999_999_999_999, 1_000_000_000, (1 << 63) - 1, *range(1_005_000_000, 1_700_000_000_000, 17_210_000_000)]
+    rows = spark.createDataFrame([(s,) for s in sizes], "s long").select("s", T.size_text(F.col("s")).alias("t")).collect()
+    assert {r.s: r.t for r in rows} == {s: f"{s / 1e9:.2f} GB" for s in sizes}
+
+
 def test_ratio_is_indel():
     assert lcs("abcde", "xaybzc") == 3 and lcs("", "a") == 0
     assert token_set_ratio(["a", "b"], ["a", "b", "c"]) == 100.0
