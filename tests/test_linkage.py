@@ -131,6 +131,41 @@ def entry_carriers(spark, most=150):
     return entities(spark, DATA).where(F.col("entity_id") < most), listings(spark, DATA).where(F.col("listing_id") < most)
 
 
+@pytest.mark.parametrize("cap", [1000, 4])
+def test_counts_of_candidates_without_the_date_pairs(spark, cap):
+    from dataclasses import replace
+
+    from titlelink.config import DEFAULTS
+
+    e, l = entry_carriers(spark, 300)
+    e = e.withColumns({"people": F.concat("people", F.array(F.lit("Agent5"))), "date": F.when(F.col("entity_id") % 9 > 0, F.col("date"))})
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    dated = linkage.date_pairs(l, e).groupBy("listing_id").agg(F.count("*"), F.min("entity_id"), F.max("entity_id"), F.sum("entity_id"))
+    assert rows(linkage.date_summary(l, e)) == rows(dated) and dated.count()
+    settings = replace(DEFAULTS, token_only_cap=cap)
+    every = linkage.candidates(l, e, settings).groupBy("listing_id").agg(F.count("*"), F.count_if("by_date"), F.sum("entity_id"))
+    assert rows(linkage.candidate_summary(l, e, settings)) == rows(every)
+
+
+def test_tokens_of_no_entity_are_sorted_out_before_the_join(spark):
+    from titlelink.operators.token_filter import likely
+
+    words = spark.range(3000).select(F.concat(F.lit("w"), "id").alias("t"))
+    some = words.where(F.expr("substr(t, -1) = '3'"))
+    left = likely(words.unionByName(words).withColumn("x", F.lit(1)), some)
+    assert left.join(some, "t", "left_semi").count() == 600 and 600 <= left.count() < 1100
+    assert likely(words, some.where("false")).count() == 0
+
+
+def test_a_token_of_many_entities_is_several_rows(spark, monkeypatch):
+    monkeypatch.setattr(linkage, "CHUNK", 3)
+    e, l = entry_carriers(spark, 100)
+    e = e.withColumn("people", F.concat("people", F.array(F.lit("Agent5"))))
+    l = l.where("listing_id < 20").unionByName(spark.createDataFrame([(900, "Agent5 and nothing"), (901, "Agent5 Agent5")], "listing_id long, title string"))
+    found = {(r.listing_id, r.n) for r in linkage.token_pairs(l, e).groupBy("listing_id").agg(F.count("*").alias("n")).where("listing_id > 800").collect()}
+    assert found == {(900, e.count()), (901, e.count())}
+
+
 def test_token_bucket_matches_a_plain_fold(spark):
     rows = [Row(key=k, seq=i, t=float(i * i % 37)) for k in (1, 2) for i in range(40)]
     got = {(r.key, r.seq): r.granted for r in token_bucket.grant(spark.createDataFrame(rows), 4.0, 15.0).collect()}
