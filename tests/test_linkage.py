@@ -4,6 +4,7 @@ import datetime as dt
 import glob
 import json
 import os
+import re
 
 import duckdb
 import pytest
@@ -166,6 +167,61 @@ def test_a_token_of_many_entities_is_several_rows(spark, monkeypatch):
     assert found == {(900, e.count()), (901, e.count())}
 
 
+def test_the_filter_lets_few_other_tokens_through(spark):
+    from titlelink.operators.token_filter import likely
+
+    words = spark.range(23_000).select("id", F.concat(F.lit("w"), "id").alias("t"))
+    left = likely(words, words.where("id < 3000").select("t"))
+    assert left.where("id < 3000").count() == 3000 and left.count() < 3300
+
+
+FAR = 1 << 31
+
+
+def far_entities(spark):
+    """Ids on both sides of what one list can name, and below zero; days before 1970, far off and null; an entity that is listed twice."""
+    ids = F.when(F.col("entity_id") < 60, F.col("entity_id") + FAR - 30).when(F.col("entity_id") < 90, -F.col("entity_id") - FAR).otherwise(F.col("entity_id"))
+    e, l = entry_carriers(spark)
+    odd = F.when(F.col("entity_id") % 5 == 0, None).when(F.col("entity_id") % 5 == 1, F.lit("0001-01-01").cast("date")).when(F.col("entity_id") % 5 == 2, F.lit("9999-12-31").cast("date")).otherwise(F.col("date"))
+    e = e.withColumns({"entity_id": ids, "people": F.concat("people", F.array(F.lit("Agent5"))), "date": odd})
+    return e.unionByName(e.where("entity_id < 20")), l.unionByName(spark.createDataFrame([(900, None), (901, ""), (902, "Agent5 agent5 1965-01-02"), (903, "nobody")], "listing_id long, title string"))
+
+
+@pytest.mark.parametrize("most", [linkage.MOST, 7])
+def test_token_pairs_are_summed_without_being_built(spark, monkeypatch, most):
+    monkeypatch.setattr(linkage, "MOST", most)
+    plan = entry.queries()["join_token_overlap"](spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert not [k for k in re.findall(r"keys=\[([^\]]*)\]", plan) if "listing_id" in k and "entity_id" in k]
+    e, l = far_entities(spark)
+    grams = {r.listing_id: set(r.g or ()) for r in l.select("listing_id", T.ngrams(T.tokenize(F.col("title"))).alias("g")).collect()}
+    keys = {}
+    for r in linkage._postings(e).collect():
+        keys.setdefault(r.entity_id, set()).add(r.t)
+    want = {(i, k) for i, g in grams.items() for k, own in keys.items() if g & own}
+    pairs = [tuple(r) for r in linkage.token_pairs(l, e).collect()]
+    assert set(pairs) == want and len(pairs) == len(want) and {(902, FAR - 30), (902, FAR), (902, -60 - FAR)} <= want
+    of = {i: [k for j, k in want if j == i] for i, _ in want}
+    assert {tuple(r) for r in linkage.token_summary(l, e).collect()} == {(i, len(own), min(own), max(own), sum(own)) for i, own in of.items()}
+
+
+@pytest.mark.parametrize(("cap", "most"), [(1000, linkage.MOST), (1000, 7), (4, linkage.MOST), (4, 7)])
+def test_candidates_by_token_keep_their_days_in_the_lists(spark, monkeypatch, cap, most):
+    monkeypatch.setattr(linkage, "MOST", most)
+    from dataclasses import replace
+
+    from titlelink.config import DEFAULTS
+
+    e, l = far_entities(spark)
+    dated = {(r.listing_id, r.entity_id) for r in linkage.date_pairs(l, e).collect()}
+    by_listing = {}
+    for r in linkage.token_pairs(l, e).collect():
+        if (r.listing_id, r.entity_id) not in dated:
+            by_listing.setdefault(r.listing_id, []).append(r.entity_id)
+    got = linkage.candidates(l, e, replace(DEFAULTS, token_only_cap=cap)).where("not by_date").collect()
+    want = {(i, k) for i, own in by_listing.items() for k in sorted(own)[:cap]}
+    assert {(r.listing_id, r.entity_id) for r in got} == want and len(got) == len(want) and dated
+
+
 def test_equal_searches_are_answered_once_with_their_columns(spark):
     titles = ["Ann Vale one", "Vale Ann two", "Ann alone", "VALE ann three", "", None]
     l = spark.createDataFrame(list(enumerate(titles)), "listing_id long, title string")
